@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney n-gram model over words, for perplexity.
 
-Counting is one Spark job. Workers turn their documents into distinct n-grams with counts and pack these into one
-compressed block for each bucket of the context's hash; blocks are shuffled, not rows. Each bucket is merged into
+A first job counts all words and gives them dense numbers, frequent words first, kept as sorted hash arrays. The second
+counts n-grams. Workers turn their documents into distinct n-grams with counts and pack these into one compressed
+block for each bucket of the context's hash; blocks are shuffled, not rows. Each bucket is merged into
 sorted hash arrays and written to one file in the shared folder; its distinct suffixes go on to the next lower order,
 where they give continuation counts, and so on down to single words. Counts and statistics cover all documents.
 
@@ -10,7 +11,7 @@ their statistics. Workers map these files into memory read-only, so the page cac
 below ``min_counts`` of their order aren't stored; their probability mass goes to the lower order, so that each
 distribution still sums to one. Discounts come from counts of counts over everything, before this pruning.
 
-A document is ``order - 1`` start marks, its words (40-bit hashes) and an end mark. Defined cases: null texts and texts
+A document is ``order - 1`` start marks, its words and an end mark; a word not seen in training is one unknown word. Defined cases: null texts and texts
 without words have null perplexity; a null id stays null; repeated rows are counted and scored as often as they are
 there; an empty training table gives the uniform model. Extra columns are not read.
 """
@@ -34,7 +35,8 @@ from .scratch import bound_parts, new_path
 
 ORDER = 3
 MIN_COUNTS = (1, 2, 2)
-START, END = np.uint64(0), np.uint64(1)
+START, END, UNKNOWN, FIRST = 0, 1, 2, 3
+CLASSES = 48
 _BLOCK = 2_000_000
 _U = np.uint64
 _ROWS = "bucket int, kind int, blob binary"
@@ -46,7 +48,7 @@ def chain(columns: Sequence[np.ndarray]) -> np.ndarray:
     acc = np.zeros(len(columns[0]), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for c in columns:
-            acc = tx.mix(acc * _U(0x9E3779B97F4A7C15) + c + _U(0x632BE59BD9B4E019))
+            acc = tx.mix(acc * _U(0x9E3779B97F4A7C15) + c.astype(np.uint64) + _U(0x632BE59BD9B4E019))
     return acc
 
 
@@ -61,23 +63,20 @@ def keys(columns: Sequence[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarr
     return full, context
 
 
-def sequences(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(words: np.ndarray, row: np.ndarray, rows: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, row, is predicted) of all rows with a word: start marks, words, end mark."""
-    h, row = tx.words(data, off)
-    h = (h >> _U(24)) | _U(2)
-    per = np.bincount(row, minlength=len(off) - 1) if len(row) else np.zeros(len(off) - 1, dtype=np.int64)
+    per = np.bincount(row, minlength=rows) if len(row) else np.zeros(rows, dtype=np.int64)
     length = np.where(per > 0, per + order, 0)
     begin = np.cumsum(length) - length
-    ids = np.zeros(int(length.sum()), dtype=np.uint64)
-    rows = np.repeat(np.arange(len(per)), length)
+    ids = np.full(int(length.sum()), START, dtype=words.dtype)
     first = np.cumsum(per) - per
-    ids[begin[row] + order - 1 + np.arange(len(h)) - first[row]] = h
+    ids[begin[row] + order - 1 + np.arange(len(words)) - first[row]] = words
     some = per > 0
     ids[(begin + length - 1)[some]] = END
     said = np.ones(len(ids), dtype=bool)
     for j in range(order - 1):
         said[begin[some] + j] = False
-    return ids, rows, said
+    return ids, np.repeat(np.arange(rows), length), said
 
 
 def windows(ids: np.ndarray, said: np.ndarray, order: int) -> list[np.ndarray]:
@@ -87,7 +86,7 @@ def windows(ids: np.ndarray, said: np.ndarray, order: int) -> list[np.ndarray]:
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -99,30 +98,21 @@ def _unplane(raw: memoryview, kind: np.dtype, n: int) -> np.ndarray:
 
 
 def pack(columns: Sequence[np.ndarray], counts: np.ndarray) -> bytes:
-    """N-grams as ranks in the block's own vocabulary, most frequent word first, byte planes, compressed."""
-    n, k = len(counts), len(columns)
-    words, at, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    ranks, counts = _narrow(rank[at]), _narrow(counts)
-    head = np.array([k, n, len(words), ranks.itemsize, counts.itemsize], dtype=np.int64).tobytes()
-    listed = words[order]
-    ids = listed.view(np.uint8).reshape(len(listed), 8)[:, :5].T.tobytes()
-    body = ids + b"".join(_planes(ranks[j * n : (j + 1) * n]) for j in range(k)) + _planes(counts)
-    return head + zstandard.ZstdCompressor(level=1).compress(body)
+    """N-grams sorted by their first word, as byte planes, compressed. Frequent words have small numbers."""
+    order = np.argsort(columns[0], kind="stable")
+    columns, counts = [_narrow(c[order]) for c in columns], _narrow(counts[order])
+    head = np.array([len(counts), counts.itemsize, len(columns), *[c.itemsize for c in columns]], dtype=np.int64).tobytes()
+    return head + zstandard.ZstdCompressor(level=3).compress(b"".join(map(_planes, [*columns, counts])))
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    k, n, v, wide, deep = (int(x) for x in np.frombuffer(blob[:40], dtype=np.int64))
-    body = memoryview(zstandard.ZstdDecompressor().decompress(blob[40:], max_output_size=5 * v + k * n * wide + n * deep + 64))
-    words = np.zeros((v, 8), dtype=np.uint8)
-    words[:, :5] = np.frombuffer(body[: 5 * v], dtype=np.uint8).reshape(5, v).T
-    words = words.view(np.uint64).reshape(v)
-    at, columns = 5 * v, []
-    for _ in range(k):
-        columns.append(words[_unplane(body[at : at + n * wide], np.dtype(f"u{wide}"), n)])
-        at += n * wide
+    n, deep, k = (int(x) for x in np.frombuffer(blob, dtype=np.int64, count=3))
+    wide = [int(x) for x in np.frombuffer(blob, dtype=np.int64, count=k, offset=24)]
+    body = memoryview(zstandard.ZstdDecompressor().decompress(blob[24 + 8 * k :], max_output_size=n * (sum(wide) + deep) + 64))
+    at, columns = 0, []
+    for w in wide:
+        columns.append(_unplane(body[at : at + n * w], np.dtype(f"u{w}"), n).astype(np.uint32 if w <= 4 else np.uint64))
+        at += n * w
     return columns, _unplane(body[at : at + n * deep], np.dtype(f"u{deep}"), n).astype(np.int64)
 
 
@@ -147,28 +137,112 @@ def _by_bucket(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
             yield b, int(edges[b]), int(edges[b + 1])
 
 
-def _emit(columns: list[np.ndarray], counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
+def _emit(columns: list[np.ndarray], counts: np.ndarray | None, bits: int) -> Iterator[tuple[int, int, bytes]]:
     key, _ = keys(columns, bits)
-    key, at, n = _unique(key, counts)
+    key, at, n = _unique(key, np.ones(len(key), dtype=np.int64) if counts is None else counts)
     for b, lo, hi in _by_bucket(key, bits):
         yield b, _NGRAMS, pack([c[at[lo:hi]] for c in columns], n[lo:hi])
 
 
-def _first_level(order: int, bits: int):
+@dataclass
+class Vocabulary:
+    """Word numbers: classes of like counts, most frequent first, then bucket, then place in the bucket's array."""
+
+    folder: str
+    bits: int
+    base: np.ndarray  # (CLASSES, buckets): first number of a class in a bucket
+    _maps: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_maps": {}}
+
+    @property
+    def kind(self) -> type:
+        return np.uint32 if self.base.max(initial=0) < 1 << 31 else np.uint64
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        u, inverse = np.unique(hashes, return_inverse=True)
+        out = np.full(len(u), UNKNOWN, dtype=self.kind)
+        for b, lo, hi in _by_bucket(u, self.bits):
+            if b not in self._maps:
+                path, raw = f"{self.folder}/words-{b}", bytes(8)
+                if os.path.exists(path):
+                    with open(path, "rb") as f:
+                        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+                n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+                self._maps[b] = tuple(np.frombuffer(raw, dtype=k, count=n, offset=o) for k, o in ((np.uint64, 8), (np.uint32, 8 + 8 * n), (np.uint8, 8 + 12 * n)))
+            known, place, kinds = self._maps[b]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, u[lo:hi]), len(known) - 1)
+                ok = known[at] == u[lo:hi]
+                at = at[ok]
+                out[lo:hi][ok] = self.base[kinds[at], b] + place[at]
+        return out[inverse]
+
+
+def _count_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            return _rows([(b, _NGRAMS, np.array([hi - lo], dtype=np.int64).tobytes() + u[lo:hi].tobytes() + zstandard.compress(_planes(n[lo:hi]), 1)) for b, lo, hi in _by_bucket(u, bits)])
+
         for batch in batches:
             for _, _, data, off in tx.chunks(batch, "text"):
-                ids, _, said = sequences(data, off, order)
-                held.append(windows(ids, said, order))
-                size += len(held[-1][0])
+                held.append(tx.words(data, off)[0])
+                size += len(held[-1])
+                if size >= 2 * _BLOCK:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _merge_words(bits: int, folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, words, counts = int(table.column("bucket")[0].as_py()), [], []
+        for x in table.column("blob"):
+            blob = x.as_py()
+            n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+            words.append(np.frombuffer(blob, dtype=np.uint64, count=n, offset=8))
+            counts.append(_unplane(memoryview(zstandard.decompress(blob[8 + 8 * n :], max_output_size=8 * n)), np.dtype(np.int64), n))
+        key, _, n = _unique(np.concatenate(words), np.concatenate(counts))
+        kinds = CLASSES - 1 - np.minimum(np.log2(n).astype(np.int64), CLASSES - 1)
+        order = np.argsort(kinds, kind="stable")
+        per = np.bincount(kinds, minlength=CLASSES)
+        place = np.empty(len(key), dtype=np.uint32)
+        place[order] = np.arange(len(key)) - np.repeat(np.cumsum(per) - per, per)
+        _write_file(folder, f"words-{bucket}", [np.array([len(key)], dtype=np.int64), key, place, kinds.astype(np.uint8)])
+        return pa.Table.from_batches([_rows([(bucket, _STATS, per.astype(np.int64).tobytes())])])
+
+    return run
+
+
+def _first_level(order: int, bits: int, vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            words = known.numbers(np.concatenate([h for h, _, _ in held]))
+            row, rows = np.concatenate([r + sum(x[2] for x in held[:i]) for i, (_, r, _) in enumerate(held)]), sum(x[2] for x in held)
+            ids, _, said = sequences(words, row, rows, order)
+            return _rows(list(_emit(windows(ids, said, order), None, bits)))
+
+        for batch in batches:
+            for lo, hi, data, off in tx.chunks(batch, "text"):
+                h, row = tx.words(data, off)
+                if len(h):
+                    held.append((h, row, hi - lo))
+                    size += len(h)
                 if size >= _BLOCK:
-                    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    yield flush()
                     held, size = [], 0
-                    yield _rows(list(_emit(columns, np.ones(len(columns[0]), dtype=np.int64), bits)))
         if size:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield _rows(list(_emit(columns, np.ones(len(columns[0]), dtype=np.int64), bits)))
+            yield flush()
 
     return run
 
@@ -183,17 +257,20 @@ def _statistics(context: np.ndarray, counts: np.ndarray, least: int) -> tuple[np
     return c[start], np.stack([np.add.reduceat(x.astype(np.float64), start) for x in cols], axis=1) if len(c) else np.zeros((0, 5))
 
 
-def _write(folder: str, level: int, bucket: int, key: np.ndarray, counts: np.ndarray, ckey: np.ndarray, stats: np.ndarray) -> None:
+def _write_file(folder: str, name: str, arrays: Sequence[np.ndarray]) -> None:
     """Atomic, and the same bytes from every attempt."""
     os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/{level}-{bucket}"
-    with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
-        f.write(np.array([len(key), len(ckey)], dtype=np.int64).tobytes())
-        for x in (key.astype(np.uint64), ckey.astype(np.uint64), stats.astype(np.float32), counts.astype(np.float32)):
-            f.write(x.tobytes())
+    with open(f"{folder}/{name}.{uuid.uuid4().hex}", "wb") as f:
+        for x in arrays:
+            f.write(np.ascontiguousarray(x).data if x.size else b"")
         f.flush()
         os.fsync(f.fileno())
-    os.replace(f.name, path)
+    os.replace(f.name, f"{folder}/{name}")
+
+
+def _write(folder: str, level: int, bucket: int, key: np.ndarray, counts: np.ndarray, ckey: np.ndarray, stats: np.ndarray) -> None:
+    head = np.array([len(key), len(ckey)], dtype=np.int64)
+    _write_file(folder, f"{level}-{bucket}", [head, key.astype(np.uint64), ckey.astype(np.uint64), stats.astype(np.float32), counts.astype(np.float32)])
 
 
 def _count_of_counts(level: int, counts: np.ndarray) -> tuple[int, int, bytes]:
@@ -232,7 +309,7 @@ def _level(level: int, bits: int, least: int, folder: str):
                 else:
                     packed = np.column_stack([c.view(np.float64), s])
                     out += [(b, _CONTEXTS, packed[lo:hi].tobytes()) for b, lo, hi in _by_bucket(c, bits)]
-                out += _emit([x[at] for x in columns[1:]], np.ones(len(at), dtype=np.int64), bits)
+                out += _emit([x[at] for x in columns[1:]], None, bits)
             key, n = key[keep], n[keep]
         else:
             key, n = np.zeros(0, dtype=np.uint64), np.zeros(0)
@@ -253,6 +330,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 class Model:
     """Where the arrays lie, and what is global to them."""
 
+    vocabulary: Vocabulary
     folder: str
     order: int
     bits: int
@@ -322,7 +400,12 @@ def train(docs: DataFrame, order: int = ORDER, min_counts: Sequence[int] = MIN_C
         raise RuntimeError("memory mapping needs a shared folder that is mounted as a file system (file://)")
     folder = path.removeprefix("file://").removeprefix("file:")
     bits = max(2, int(np.ceil(np.log2(buckets or bound_parts(spark)))))
-    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(_first_level(order, bits), _ROWS)
+    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
+    sizes = np.zeros((CLASSES, 1 << bits), dtype=np.int64)
+    for r in texts.mapInArrow(_count_words(bits), _ROWS).groupBy("bucket").applyInArrow(_merge_words(bits, folder), _ROWS).collect():
+        sizes[:, r["bucket"]] = np.frombuffer(bytes(r["blob"]), dtype=np.int64)
+    known = Vocabulary(folder, bits, FIRST + (np.cumsum(sizes.reshape(-1)) - sizes.reshape(-1)).reshape(sizes.shape))
+    rows = texts.mapInArrow(_first_level(order, bits, spark.sparkContext.broadcast(known)), _ROWS)
     for level in range(order, 0, -1):
         rows = rows.groupBy("bucket").applyInArrow(_level(level, bits, min_counts[level - 1], folder), _ROWS)
     counts = {n: np.zeros(7, dtype=np.int64) for n in range(1, order + 1)}
@@ -338,7 +421,7 @@ def train(docs: DataFrame, order: int = ORDER, min_counts: Sequence[int] = MIN_C
     # what the stored words don't take is spread over all words and the unknown one
     lost = total - sum((k + 1) * v for k, v in enumerate(kept)) - (total - one[0] - 2 * one[1])
     base = (d1 * kept[0] + d2 * kept[1] + d3 * heavy + lost) / total if total else 1.0
-    return Model(folder, order, bits, discounts, total, kinds, float(base))
+    return Model(known, folder, order, bits, discounts, total, kinds, float(base))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -347,7 +430,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in tx.chunks(batch, "text", size=4 << 20):
-                ids, rows, said = sequences(data, off, model.order)
+                h, row = tx.words(data, off)
+                ids, rows, said = sequences(model.vocabulary.numbers(h), row, hi - lo, model.order)
                 total, n = np.zeros(hi - lo), np.zeros(hi - lo, dtype=np.int64)
                 if len(ids):
                     row = rows[said]

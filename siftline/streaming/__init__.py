@@ -1,0 +1 @@
+"""Search operators over streams."""
