@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,11 +80,15 @@ def _boosted_leaf(index: Index, part: Part, only: DataFrame | None, boosts: tupl
             places = places.select("doc_id", element(F.col("pos")).alias("at")).distinct()
             values = index.boosts.where(F.col("path") == boost.path).select("doc_id", element(F.col("pos")).alias("at"), "boost")
             found = values.join(places, ["doc_id", "at"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "boost"))).alias("bs"))
-            each = F.aggregate("bs", F.col("score"), lambda s, x, b=boost: scoring.boosted(s, x["boost"], b))
+            each = F.aggregate("bs", F.col("score"), _applying(boost))
             hits = hits.join(found, "doc_id", "left").select("doc_id", F.when(F.col("bs").isNull(), F.col("score")).otherwise(each).alias("score"))
     return hits
 
 
+def _applying(boost: Boost) -> Callable[[Column, Column], Column]:
+    return lambda score, x: scoring.boosted(score, x["boost"], boost)
+
+
 def document_boost(index: Index, hits: DataFrame, boost: Boost) -> DataFrame:
     """A boost by a number of the document itself; documents without it keep their score."""
     values = index.boosts.where(F.col("path") == boost.path).groupBy("doc_id").agg(F.first("boost").alias("boost"))
@@ -117,8 +123,6 @@ def term_boosts(index: Index, hits: DataFrame, boosts: tuple[Part, ...]) -> Data
         if part not in index.boost_cache:
             if len(index.boost_cache) >= 10:
                 index.boost_cache.pop(next(iter(index.boost_cache)))
-            from dataclasses import replace
-
             index.boost_cache[part] = whole_value_docs(index, replace(part, boost=None))
         found.append(index.boost_cache[part].select("doc_id", F.lit(float(2.0 if part.boost is None else part.boost)).alias("factor")))
     return _multiplied(hits, reduce(DataFrame.unionByName, found)) if found else hits

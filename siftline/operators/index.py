@@ -27,6 +27,7 @@ class Index:
         self.token_values = spark.createDataFrame([], "path string, term string, value double")
         self.boost_cache: dict[Any, DataFrame] = {}
         self.raw_config: str | None = None
+        self.stored = False
 
     # --- making ---------------------------------------------------------------------------------------------
 
@@ -103,6 +104,10 @@ class Index:
     def entries(self) -> DataFrame:
         return tables.entries(self.leafs, self.config)
 
+    @cached_property
+    def search_entries(self) -> DataFrame:
+        return tables.entries(self._with("Search"), self.config)
+
     # --- metadata -------------------------------------------------------------------------------------------
 
     @cached_property
@@ -158,7 +163,7 @@ class Index:
         }
         read = lambda name: spark.read.schema(shapes[name]).parquet(f"{path}/{name}")
         index = Index(spark, read("leafs"), spark.read.parquet(f"{path}/docs"), Config.parse(meta["config"]), meta["columns"])
-        index.raw_config = meta["config"]
+        index.raw_config, index.stored = meta["config"], True
         for name in STORED:
             if name != "leafs":
                 setattr(index, name, read(name))

@@ -36,25 +36,25 @@ def _condition(part: Part, column: Column, term: str, d: int) -> Column:
 
 
 def matched_terms(index: Index, part: Part, limit: bool = True) -> DataFrame:
-    """(term, score) of the dictionary entries of ``part.path`` that fit."""
+    """(term, score, num_occ) of the dictionary entries of ``part.path`` that fit."""
     index.check(part.path)
     term, d = part.term, allowed_distance(part)
     rows = index.terms.where(F.col("path") == part.path).where(_condition(part, F.col("term"), term, d))
     key, wanted = F.lower("term"), term.lower()
     far = distance.distance_to(key, wanted)
     if part.ignore_case is True and d > 0 and not part.is_regex and not part.starts_with:
-        rows = rows.select("term").withColumn("swapped", distance.with_swaps(F.lower("term"), wanted)).where(F.col("swapped") <= d)
+        rows = rows.select("term", "num_occ").withColumn("swapped", distance.with_swaps(F.lower("term"), wanted)).where(F.col("swapped") <= d)
         far = F.col("swapped")
     prefix = key.startswith(wanted) if part.starts_with or d > 0 else F.lit(False)
     score = scoring.fit_score(far, prefix)
     if part.boost is not None:
         score = score * F.lit(float(part.boost))
-    rows = rows.select("term", score.alias("score"))
+    rows = rows.select("term", score.alias("score"), "num_occ")
     if limit and part.top is not None:
         rows = rows.orderBy(F.desc("score"), F.desc("term")).limit(part.top + (part.skip or 0))
     if part.token_value is not None:
         values = index.token_values.where(F.col("path") == part.path).select("term", "value")
-        rows = rows.join(values, "term", "left").select("term", scoring.boosted(F.col("score"), F.col("value"), part.token_value).alias("score"))
+        rows = rows.join(values, "term", "left").select("term", scoring.boosted(F.col("score"), F.col("value"), part.token_value).alias("score"), "num_occ")
     return rows
 
 
@@ -63,13 +63,26 @@ def leaf_hits(index: Index, part: Part, only: DataFrame | None = None) -> DataFr
 
     ``only`` (doc_id) is applied below the aggregate, so documents that the filter excludes are never grouped.
     """
-    postings = index.postings.where(F.col("path") == part.path).select("term", "doc_id", F.col("score").alias("anchor"))
-    if only is not None:
-        postings = postings.join(only, "doc_id", "left_semi")
-    found = matched_terms(index, part).join(postings, "term")
+    if index.stored:
+        postings = index.postings.where(F.col("path") == part.path).select("term", "doc_id", F.col("score").alias("anchor"))
+        if only is not None:
+            postings = postings.join(only, "doc_id", "left_semi")
+        found = matched_terms(index, part).join(postings, "term")
+    else:
+        found = _posted(index, part, only)
     return found.select("doc_id", (F.col("score") * F.col("anchor") / F.lit(100.0)).alias("s")).groupBy("doc_id").agg(F.max("s").alias("score"))
 
 
+def _posted(index: Index, part: Part, only: DataFrame | None) -> DataFrame:
+    """(doc_id, score, anchor) without a stored table: only entries of matching terms are scored and grouped."""
+    rows = index.search_entries.where(F.col("path") == part.path).select("term", "doc_id", "at", "n_tokens", "exact")
+    if only is not None:
+        rows = rows.join(only, "doc_id", "left_semi")
+    scored = rows.join(matched_terms(index, part), "term").withColumn("s", scoring.anchor_score(F.col("at"), F.col("num_occ"), F.col("n_tokens"), F.col("exact")))
+    best = scored.groupBy("doc_id", "term").agg(F.max("s").alias("best"), F.count("*").alias("n"), F.first("score").alias("score"))
+    return best.select("doc_id", "score", scoring.merged_score(F.col("best"), F.col("n")).alias("anchor"))
+
+
 def whole_value_docs(index: Index, part: Part) -> DataFrame:
     """(doc_id): documents with a whole value that fits; filters and boosts by term work on whole values."""
     values = index.leafs.where(F.col("path") == part.path).select(F.col("value").alias("term"), "doc_id")
