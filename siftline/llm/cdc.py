@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .rows import row_key
+from .rows import free_name, row_key
 from .scratch import materialise
 
 MASK_BITS = 5
@@ -105,8 +105,9 @@ def repeats(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
 
 def strip_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the byte ranges of ``found`` (from :func:`repeats`) taken out of ``text``."""
-    spans = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("k", "__row_key")
-    joined = docs.withColumn("__row_key", row_key()).join(spans, "__row_key", "left")
+    key = free_name(docs, "__row_key")
+    spans = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("k", key)
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
     raw = F.expr(
         "decode(aggregate(__spans, named_struct('at', 0, 'out', cast('' as binary)), (s, x) -> named_struct('at', x.end, 'out', concat(s.out, substring(cast(text as binary), s.at + 1, x.start - s.at))),"
         " s -> concat(s.out, substring(cast(text as binary), s.at + 1, octet_length(text)))), 'UTF-8')"

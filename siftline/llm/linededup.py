@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import row_key
+from .rows import free_name, row_key
 from .scratch import materialise
 
 RARE = 8
@@ -118,13 +118,15 @@ def deletions(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> Data
 
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated blocks removed from ``text``, and a column ``lines_removed``."""
-    found = deletions(docs, rare, least).withColumnRenamed("k", "__row_key").withColumnRenamed("gone", "__gone")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__gone, i)), '\\n')")
+    """``docs`` with repeated blocks removed from ``text``, and a column ``lines_removed`` (replaced where there is one)."""
+    docs = docs.drop("lines_removed")
+    key, cut = free_name(docs, "__row_key"), free_name(docs, "__gone")
+    found = deletions(docs, rare, least).withColumnRenamed("k", key).withColumnRenamed("gone", cut)
+    kept = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not array_contains({cut}, i)), '\\n')")
     # a row without deletions keeps a null list, so its text passes through as it is
-    joined = docs.withColumn("__row_key", row_key()).join(found, "__row_key", "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("text", text).select(*docs.columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_removed"))
+    joined = docs.withColumn(key, row_key()).join(found, key, "left")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)
+    return joined.withColumn("text", text).select(*docs.columns, F.coalesce(F.size(cut), F.lit(0)).alias("lines_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 A text found in several sources may be spent for any of them. Documents are grouped by text, then aggregated by
-membership pattern (the set of sources that hold the text). Tokens flow from patterns to the quotas of their sources.
+membership pattern (the set of sources that hold the text). The driver holds one row per pattern that occurs, whatever
+the number of documents. Tokens flow from patterns to the quotas of their sources.
 A pattern's tokens can be used once at no cost, a second time at cost 1, a third time at cost 2 and so on (convex
 repetition costs, up to ``MAX_REPEATS`` uses); what a quota can't get counts as shortfall at a cost above all of
 these. The solution's flows give each pattern a number of uses per source, and documents are chosen in the order of a
@@ -24,8 +25,6 @@ from .scratch import materialise
 
 MAX_REPEATS = 4
 BUCKETS = 1 << 12
-#: Patterns kept apart on the driver. Beyond it the rest are narrowed to the scarcest single source of theirs.
-MAX_PATTERNS = 50_000
 SHORT = 1000.0
 
 
@@ -130,7 +129,7 @@ def _units(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("members"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 0, repeats: int = MAX_REPEATS, limit: int = MAX_PATTERNS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 0, repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, source, uses, tokens): chosen documents, the source each is spent for, how often.
 
     ``budget`` is the number of tokens wanted in all; by default that of the distinct texts.
@@ -139,16 +138,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = No
     units = materialise(units.withColumn("bucket", F.shiftrightunsigned("u", 52).cast("int")), "units")
     # tokens of each pattern by bucket of the seeded hash: bounded by patterns x BUCKETS
     table = units.groupBy("members").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
-    known = table.orderBy(F.desc("tokens"), "members").limit(limit + 1).collect()
+    known = table.orderBy(F.desc("tokens"), "members").collect()
     total = float(sum(r["tokens"] for r in known))
-    if len(known) > limit:
-        rare = [s for s, _ in sorted(((r["s"], r["t"]) for r in units.select(F.explode("members").alias("s"), "tokens").groupBy("s").agg(F.sum("tokens").alias("t")).collect()), key=lambda x: (x[1] / max(weights.get(x[0], 0), 1e-12), x[0]))]
-        rank = F.create_map(*[F.lit(v) for s in enumerate(rare) for v in (s[1], s[0])])
-        kept = docs.sparkSession.createDataFrame([(r["members"],) for r in known[:limit]], "members array<string>").withColumn("own", F.lit(True))
-        narrow = F.array(F.array_min(F.transform("members", lambda s: F.struct(rank[s].alias("r"), s.alias("s"))))["s"])
-        units = materialise(units.join(F.broadcast(kept), "members", "left").withColumn("members", F.when(F.col("own"), F.col("members")).otherwise(narrow)).drop("own"), "units")
-        known = units.groupBy("members").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts")).orderBy(F.desc("tokens"), "members").collect()
-        total = float(sum(r["tokens"] for r in known))
     names = sorted(weights)
     at, whole = {s: i for i, s in enumerate(names)}, sum(weights.values()) or 1.0
     members = [tuple(at[s] for s in r["members"] if s in at) for r in known]

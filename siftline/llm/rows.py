@@ -14,10 +14,18 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """``docs`` without the rows whose key is among ``gone`` (column ``k``, already materialised); columns unchanged."""
     keys = gone.select("k").distinct()
     if keys.limit(limit + 1).count() <= limit:
         keys = F.broadcast(keys)
-    name = "__row_key"
+    name = free_name(docs, "__row_key")
     return docs.withColumn(name, row_key()).join(keys.withColumnRenamed("k", name), name, "left_anti").select(docs.columns)

@@ -28,10 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .rows import free_name
 from .scratch import materialise
 
 COMMON = 0.001
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, total: int = TOTAL) -
     )
 
 
-def drop_near_duplicates(docs: DataFrame, key: Column | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group; columns unchanged."""
     found = materialise(near_duplicates(docs), "groups")
     gone = found.where("not keep").select("doc_id").distinct()
@@ -297,5 +298,6 @@ def drop_near_duplicates(docs: DataFrame, key: Column | None = None) -> DataFram
     if repeated.isEmpty():
         return left.select(docs.columns)
     again = left.join(repeated, "doc_id", "left_semi")
-    once = again.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where("__rank = 1")
+    rank = free_name(docs, "__rank")
+    once = again.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(rank) == 1)
     return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))

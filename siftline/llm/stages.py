@@ -11,7 +11,7 @@ from .decontaminate import contaminated
 from .linededup import drop_repeated_lines
 from .mixing import mix
 from .quality import quality_scores
-from .rows import row_key, without
+from .rows import without
 from .scratch import materialise
 from .simhash import drop_near_duplicates
 
@@ -33,11 +33,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def draw_mixture(docs: DataFrame, weights: Mapping[str, float] = TARGETS, seed: int = 0) -> DataFrame:
     """The chosen rows of ``docs`` with ``mix_source`` and ``mix_uses``: a text shared by sources has a row for each
-    source it is spent for. Of rows that repeat a text the one with the smallest doc_id is used, once."""
+    source it is spent for. Columns of ``docs`` with these two names are replaced. Of rows that repeat a text the one with the smallest doc_id is used, once."""
     chosen = mix(docs, weights, seed=seed)
     chosen = chosen.select("doc_id", F.col("source").alias("mix_source"), F.col("uses").alias("mix_uses"))
-    name = "__row_key"
-    drawn = docs.where("text is not null and source is not null").withColumn(name, row_key()).join(chosen, "doc_id")
+    docs = docs.drop("mix_source", "mix_uses")
+    drawn = docs.where("text is not null and source is not null").join(chosen, "doc_id")
     # rows that repeat an id would all be drawn: the first of them stands for it
     first = drawn.groupBy("doc_id", "mix_source").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
     if first.isEmpty():

@@ -120,5 +120,5 @@ def _by_join(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> D
         id_col, url_col,
         F.when(F.col("best").isNull(), "none").when(F.col("best.is_block"), "block").otherwise("allow").alias("decision"),
         F.col("best.rule").alias("rule"),
-        ~F.coalesce("best.is_block", F.lit(False)).alias("keep"),
+        (~F.coalesce("best.is_block", F.lit(False))).alias("keep"),
     )
