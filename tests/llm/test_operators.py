@@ -131,7 +131,7 @@ def test_trie_join_finds_all_neighbours(spark, prefix):
 def test_near_copies_are_grouped(spark):
     rng = np.random.default_rng(3)
     texts = [prose(200, rng) for _ in range(30)]
-    copies = [" ".join(w if i % 25 else f"changed{i}" for i, w in enumerate(t.split())) for t in texts[:10]]
+    copies = [" ".join(w if i % 25 else rng.choice(WORDS) for i, w in enumerate(t.split())) for t in texts[:10]]
     found = {r["doc_id"]: r for r in simhash.near_duplicates(frame(spark, texts + copies + texts[:5])).collect()}
     for i in range(10):
         assert found[30 + i]["group_id"] == i and not found[30 + i]["keep"] and found[i]["keep"]
