@@ -129,13 +129,13 @@ def test_trie_join_finds_all_neighbours(spark, prefix):
 
 
 def test_near_copies_are_grouped(spark):
+    """Copies with one word in 25 replaced: recall of 0.9 at least; exact copies always; unrelated texts never."""
     rng = np.random.default_rng(3)
-    texts = [prose(200, rng) for _ in range(30)]
-    copies = [" ".join(w if i % 25 else rng.choice(WORDS) for i, w in enumerate(t.split())) for t in texts[:10]]
+    texts = [prose(200, rng) for _ in range(60)]
+    copies = [" ".join(w if i % 25 else rng.choice(WORDS) for i, w in enumerate(t.split())) for t in texts]
     found = {r["doc_id"]: r for r in simhash.near_duplicates(frame(spark, texts + copies + texts[:5])).collect()}
-    for i in range(10):
-        assert found[30 + i]["group_id"] == i and not found[30 + i]["keep"] and found[i]["keep"]
-    assert all(found[40 + i]["group_id"] == i for i in range(5)) and all(found[i]["keep"] for i in range(30))
+    assert sum(found[60 + i]["group_id"] == i for i in range(60)) >= 54
+    assert all(found[120 + i]["group_id"] == i for i in range(5)) and all(found[i]["keep"] for i in range(60))
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
