@@ -6,10 +6,11 @@ block for each bucket of the context's hash; blocks are shuffled, not rows. Each
 sorted hash arrays and written to one file in the shared folder; its distinct suffixes go on to the next lower order,
 where they give continuation counts, and so on down to single words. Counts and statistics cover all documents.
 
-A file holds, for one order and bucket: sorted 64-bit keys and counts of the n-grams kept, sorted keys of contexts and
-their statistics. Workers map these files into memory read-only, so the page cache of a node holds one copy. N-grams
-below ``min_counts`` of their order aren't stored; their probability mass goes to the lower order, so that each
-distribution still sums to one. Discounts come from counts of counts over everything, before this pruning.
+A file holds, for one order and bucket: sorted 64-bit keys and counts of the n-grams, sorted keys of contexts and
+their statistics; as few statistics differ, each distinct row of them is stored once and contexts hold its number.
+Workers map these files into memory read-only, so the page cache of a node holds one copy. All n-grams are stored.
+Only if a caller raises ``min_counts`` are those below it left out; their probability mass then goes to the lower
+order, so that each distribution still sums to one, and discounts still come from counts of counts over everything.
 
 A document is ``order - 1`` start marks, its words and an end mark; a word not seen in training is one unknown word. Defined cases: null texts and texts
 without words have null perplexity; a null id stays null; repeated rows are counted and scored as often as they are
@@ -34,7 +35,7 @@ from . import textops as tx
 from .scratch import bound_parts, new_path
 
 ORDER = 3
-MIN_COUNTS = (1, 2, 2)
+MIN_COUNTS = (1, 1, 1)
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 CLASSES = 48
 _BLOCK = 2_000_000
@@ -269,8 +270,10 @@ def _write_file(folder: str, name: str, arrays: Sequence[np.ndarray]) -> None:
 
 
 def _write(folder: str, level: int, bucket: int, key: np.ndarray, counts: np.ndarray, ckey: np.ndarray, stats: np.ndarray) -> None:
-    head = np.array([len(key), len(ckey)], dtype=np.int64)
-    _write_file(folder, f"{level}-{bucket}", [head, key.astype(np.uint64), ckey.astype(np.uint64), stats.astype(np.float32), counts.astype(np.float32)])
+    _, first, code = np.unique(chain(stats.T), return_index=True, return_inverse=True)
+    code, counts = _narrow(code), _narrow(counts.astype(np.uint64))
+    head = np.array([len(key), len(ckey), len(first), code.itemsize, counts.itemsize], dtype=np.int64)
+    _write_file(folder, f"{level}-{bucket}", [head, key.astype(np.uint64), ckey.astype(np.uint64), stats[first].astype(np.float32), code, counts])
 
 
 def _count_of_counts(level: int, counts: np.ndarray) -> tuple[int, int, bytes]:
@@ -344,19 +347,19 @@ class Model:
         return self.__dict__ | {"_maps": {}}
 
     def arrays(self, level: int, bucket: int) -> tuple[np.ndarray, ...]:
-        """(keys, context keys, context statistics, counts), mapped on first use."""
+        """(keys, context keys, distinct context statistics, each context's row of them, counts), mapped on first use."""
         if (level, bucket) not in self._maps:
             path = f"{self.folder}/{level}-{bucket}"
-            raw: mmap.mmap | bytes = bytes(16)
+            raw: mmap.mmap | bytes = np.array([0, 0, 0, 1, 1], dtype=np.int64).tobytes()
             if os.path.exists(path):
                 with open(path, "rb") as f:
                     raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-            n, m = (int(x) for x in np.frombuffer(raw, dtype=np.int64, count=2))
-            out, at = [], 16
-            for kind, size in ((np.uint64, n), (np.uint64, m), (np.float32, 5 * m), (np.float32, n)):
+            n, m, rows, wide, deep = (int(x) for x in np.frombuffer(raw, dtype=np.int64, count=5))
+            out, at = [], 40
+            for kind, size in ((np.uint64, n), (np.uint64, m), (np.float32, 5 * rows), (f"u{wide}", m), (f"u{deep}", n)):
                 out.append(np.frombuffer(raw, dtype=kind, count=size, offset=at))
                 at += size * np.dtype(kind).itemsize
-            out[2] = out[2].reshape(m, 5)
+            out[2] = out[2].reshape(rows, 5)
             self._maps[level, bucket] = tuple(out)
         return self._maps[level, bucket]
 
@@ -366,11 +369,11 @@ class Model:
         out = np.zeros((len(u), 5) if contexts else len(u), dtype=np.float32)
         for b, lo, hi in _by_bucket(u, self.bits):
             arrays = self.arrays(level, b)
-            known, values = arrays[1 if contexts else 0], arrays[2 if contexts else 3]
+            known = arrays[1 if contexts else 0]
             if len(known):
                 at = np.minimum(np.searchsorted(known, u[lo:hi]), len(known) - 1)
                 ok = known[at] == u[lo:hi]
-                out[lo:hi][ok] = values[at[ok]]
+                out[lo:hi][ok] = arrays[2][arrays[3][at[ok]]] if contexts else arrays[4][at[ok]]
         return out[inverse]
 
     def probabilities(self, columns: Sequence[np.ndarray]) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import cdc, chat, decontaminate, langid, linededup, mixing, ngram_lm, quality, simhash, stages, url_filter
 from siftline.llm import textops as tx
+from siftline.llm.queries import op8_lm_score
 
 RNG = np.random.default_rng(5)
 WORDS = ["w" + "".join(RNG.choice(list("abcdefghij"), 6)) for _ in range(400)]
@@ -300,6 +301,15 @@ def test_language_model_matches_the_definition(spark):
         assert found[i]["logprob"] == (None if want is None else pytest.approx(want, rel=1e-4)), i
 
 
+def test_language_model_as_registered_stores_every_ngram(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(WORDS[:30], rng.integers(1, 15))) for _ in range(30)] + [None]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["logprob"] for r in op8_lm_score(spark, str(tmp_path)).collect()}
+    for i, want in enumerate(brute_kneser_ney(texts, 3)):
+        assert found[i] == (None if want is None else pytest.approx(want, rel=1e-4)), i
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
