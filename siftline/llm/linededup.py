@@ -1,8 +1,11 @@
 """Line-level deduplication by pairwise alignment.
 
-1. Overlapping documents are found through shared line hashes. A line held by up to ``RARE`` documents links all its
-   holders pairwise; a more frequent line links every holder to the first one only, which keeps the pairs linear in
-   the number of holders and leaves out no repeated line.
+1. Overlapping documents are found through shared keys: the hash of a line with ``MIN_WORDS`` words, and for a
+   shorter line that of each least block of lines around it that has them, so every run that can be deleted holds a
+   key of each of its lines. A key held by up to ``RARE`` documents links all its holders pairwise. A more frequent
+   one links every holder to the first; holders whose line is still there after the alignment are linked to the next
+   earlier holders, ``STEP`` times as many a round, until the line is deleted or no earlier holder is left. The result
+   is that of aligning all pairs.
 2. Each pair is aligned with patience diff: common ends, then lines unique in both as anchors (longest increasing
    subsequence), then the same between anchors.
 3. Runs of aligned lines with at least ``MIN_WORDS`` words are deleted from the later document (order: doc_id, then
@@ -21,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rows import free_name, row_key
@@ -29,6 +32,7 @@ from .scratch import materialise
 
 RARE = 8
 MIN_WORDS = 5
+STEP = 4
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -88,6 +92,38 @@ def repeated_lines(a: list[int], b: list[int], words: list[int], least: int = MI
     return out
 
 
+def keys(h: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(key, index) of each line: of the line itself if it has ``least`` words, else of every least block around it."""
+    out = []
+    for p in range(len(h)):
+        start, held = p, words[p]
+        while True:
+            end, n = p, held
+            while n < least and end + 1 < len(h):
+                end += 1
+                n += words[end]
+            if n >= least:
+                out.append((h[p] if start == end else hash(tuple(h[start : end + 1])), p))
+            if held >= least or not start:
+                break
+            start -= 1
+            held += words[start]
+    return out
+
+
+def _keyed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, lines = [], []
+            for h, w, i in zip(b.column("h").to_pylist(), b.column("w").to_pylist(), b.column("i").to_pylist(), strict=True):
+                own = keys(h, w, least)
+                found.append([x for x, _ in own])
+                lines.append([i[p] for _, p in own])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("d", "i", "h", "w")], pa.array(found, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int32()))], ["d", "i", "h", "w", "key", "line"])
+
+    return run
+
+
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,20 +137,39 @@ def _align(least: int):
 
 def deletions(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
     """(k, gone): line numbers to delete from the document with row key k."""
+    doc = "struct<doc_id:bigint,k:bigint>"
     lines = F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, xxhash64(trim(x)) as h, regexp_count(x, '\\\\S+') as w)), s -> s.w > 0)")
     cut = docs.where("doc_id is not null and text is not null").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k")).alias("d"), lines.alias("lines"))
-    cut = materialise(cut.where("size(lines) > 0").select("d", F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.w").alias("w")), "lines")
-    links = cut.select("d", F.explode(F.array_distinct("h")).alias("h"))
+    cut = cut.where("size(lines) > 0").select("d", F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.w").alias("w"))
+    cut = materialise(cut.mapInArrow(_keyed(least), f"d {doc}, i array<int>, h array<bigint>, w array<int>, key array<bigint>, line array<int>"), "lines")
+    one = cut.select("d", "i", "h", "w").dropDuplicates(["d"])
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(one.select(F.col("d").alias("a"), F.col("h").alias("ah")), "a").join(one.select(F.col("d").alias("b"), F.col("h").alias("bh"), F.col("w").alias("bw"), F.col("i").alias("bi")), "b")
+        gone = both.select("b", "ah", "bh", "bw", "bi").mapInArrow(_align(least), f"b {doc}, gone array<int>")
+        return materialise(gone.select(F.col("b").alias("d"), F.explode("gone").alias("line")).distinct(), "gone")
+
+    links = cut.select("d", F.explode(F.array_distinct("key")).alias("h"))
     held = links.groupBy("h").agg(F.countDistinct("d").alias("n"), F.min("d").alias("first")).where("n > 1")
     shared = links.join(held, "h")
     to_first = shared.where("d != first").select(F.col("first").alias("a"), F.col("d").alias("b"))
     sets = shared.where(F.col("n").between(3, rare)).groupBy("h").agg(F.array_sort(F.collect_set("d")).alias("ds"))
     among = sets.select(F.explode(F.expr("flatten(transform(ds, (x, i) -> transform(filter(ds, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    pairs = to_first.union(among).distinct()
-    one = cut.dropDuplicates(["d"])
-    both = pairs.join(one.select(F.col("d").alias("a"), F.col("h").alias("ah")), "a").join(one.select(F.col("d").alias("b"), F.col("h").alias("bh"), F.col("w").alias("bw"), F.col("i").alias("bi")), "b")
-    gone = both.select(F.col("b.k").alias("b"), "ah", "bh", "bw", "bi").mapInArrow(_align(least), "b long, gone array<int>").where("size(gone) > 0")
-    return gone.select(F.col("b").alias("k"), F.explode("gone").alias("line")).groupBy("k").agg(F.collect_set("line").alias("gone"))
+    found = aligned(to_first.union(among).distinct())
+    # of frequent keys: every holder with its place among them
+    places = cut.select("d", F.explode(F.arrays_zip("key", "line")).alias("x")).select("d", F.col("x.key").alias("h"), F.col("x.line").alias("line"))
+    often = places.join(held.where(F.col("n") > rare).select("h"), "h").withColumn("rank", F.dense_rank().over(Window.partitionBy("h").orderBy("d")))
+    often = materialise(often, "often")
+    left, tried, gone = often, 1, found
+    while True:
+        left = materialise(left.where(F.col("rank") > tried + 1).join(found, ["d", "line"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+        earlier = often.where(F.col("rank").between(tried + 1, tried * STEP)).select("h", F.col("d").alias("a"), F.col("rank").alias("place")).distinct()
+        again = left.select("h", F.col("d").alias("b"), "rank").distinct().join(earlier, "h").where("place < rank")
+        found = aligned(again.select("a", "b").distinct())
+        gone, tried = gone.union(found), tried * STEP
+    return gone.select(F.col("d.k").alias("k"), "line").groupBy("k").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:

@@ -219,6 +219,17 @@ def test_frequent_lines_reach_every_later_holder(spark):
     assert sorted(r["lines_removed"] for r in out) == [0] + [1] * 39
 
 
+def test_frequent_lines_fall_to_any_earlier_holder(spark):
+    rng = np.random.default_rng(12)
+    common = [prose(6, rng) for _ in range(5)] + ["two words", "and three more", "yes"]
+    texts = ["\n".join([*(prose(8, rng) for _ in range(2)), *rng.permutation(common)[: rng.integers(2, 9)], *common[: rng.integers(0, 2)]]) for _ in range(60)]
+    want = {}
+    for j, b in enumerate(texts):
+        gone = {n for a in texts[:j] for n in linededup.repeated_lines(a.split("\n"), b.split("\n"), [len(x.split()) for x in b.split("\n")])}
+        want[j] = "\n".join(x for n, x in enumerate(b.split("\n")) if n not in gone)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, texts)).collect()} == want
+
+
 def test_patience_aligns_like_a_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
