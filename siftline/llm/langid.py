@@ -3,7 +3,11 @@
 Features are character 1- to 3-grams of the lower-cased text, hashed to ``DIMS`` buckets, weighted by log-damped
 term frequency and inverse document frequency, and scaled to length one. Each language has ``CENTROIDS`` centroids
 from spherical k-means. A text takes the language of the nearest centroid by cosine; if the cosine distance is above
-that language's rejection radius (a quantile of its own training distances, times ``SLACK``) it becomes ``und``.
+that language's rejection radius for texts of this size it becomes ``und``. Radii come from held-out distances, with
+centroids fitted on one half of the rows and measured on the other: of own texts, and of texts of other languages that
+come nearest once their own language is left out, and of words of random letters. The radius is where the fewest own
+texts are rejected and others accepted, in shares; as short texts lie further out, it is set for the first 16, 32 ...
+1024 bytes of texts and for whole texts by size, and interpolated by number of grams.
 
 Fitting uses at most ``PER_LANGUAGE`` labelled rows of each language, those with the smallest hash of id and text;
 this bound is a parameter. Prediction covers all rows and whole texts.
@@ -27,7 +31,7 @@ from . import textops as tx
 DIMS = 1 << 12
 PER_LANGUAGE = 600
 CENTROIDS = 4
-SLACK = 1.35
+PREFIXES = (16, 32, 64, 128, 256, 512, 1024)
 
 
 def gram_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -70,7 +74,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    radius: np.ndarray
+    radius: np.ndarray  # (languages, sizes)
+    sizes: np.ndarray  # logarithms of gram counts, ascending
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -84,8 +89,10 @@ class Model:
         best = cos.argmax(axis=1)
         score = cos[np.arange(len(cos)), best]
         lang = self.owner[best]
-        # short texts have few grams and lie further out: the radius widens with the noise of their counts
-        room = np.minimum(1 - score.clip(0, 1), 1) <= np.minimum(0.97, self.radius[lang] + 3.2 / np.sqrt(np.maximum(counts.sum(axis=1), 1)))
+        place = np.interp(np.log(np.maximum(counts.sum(axis=1), 1)), self.sizes, np.arange(len(self.sizes)))
+        low = place.astype(int)
+        high = np.minimum(low + 1, len(self.sizes) - 1)
+        room = 1 - score <= self.radius[lang, low] + (place - low) * (self.radius[lang, high] - self.radius[lang, low])
         return np.where(room & (counts.sum(axis=1) > 0), lang, -1), score
 
 
@@ -102,6 +109,72 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
+def _noise(size: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts of ``n`` texts of ``size`` bytes, words of random letters."""
+    data = np.where(rng.random(n * size) < 1 / 7, 32, rng.integers(97, 123, n * size)).astype(np.uint8)
+    return gram_counts(data, np.arange(n + 1) * size)
+
+
+def _between(own: np.ndarray, *others: np.ndarray) -> float:
+    """The distance with the least sum of the share of own texts rejected and of each other kind accepted."""
+    own, others = np.sort(own), [np.sort(x) for x in others if len(x)]
+    at = np.sort(np.concatenate([own, *others]))
+    wrong = 1 - np.searchsorted(own, at, side="right") / len(own) + sum(np.searchsorted(x, at, side="right") / len(x) for x in others)
+    best = int(wrong.argmin())
+    return float(at[best] + at[min(best + 1, len(at) - 1)]) / 2
+
+
+def _radii(model: Model, counts: np.ndarray, heads: list[bytes], lang: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(radius of each language and size, log sizes) from distances to centroids fitted without the text."""
+    own, x = np.searchsorted(model.languages, lang), model.vectors(counts)
+    half = rng.permutation(len(x)) % 2
+    fitted = []
+    for side in (0, 1):
+        parts = []
+        for n in range(len(model.languages)):
+            rows = (own == n) & (half != side)
+            parts.append(_kmeans(x[rows if rows.any() else own == n], k, rng))
+        fitted.append(parts)
+    long, whole = np.array([len(h) for h in heads]), counts.sum(axis=1)
+    least = 20 * len(model.languages)
+    levels = [(size, np.flatnonzero(long > size)) for size in PREFIXES]
+    levels += [(0, np.flatnonzero((long > PREFIXES[-1]) & (whole >= lo) & (whole < lo * 2))) for lo in 4 * PREFIXES[-1] * 2 ** np.arange(8)]
+    levels = [(size, pick) for size, pick in levels if len(pick) >= least] or [(0, np.arange(len(x)))]
+    radius, sizes = [], []
+    for size, pick in levels:
+        if not size:
+            some = counts[pick]
+        else:
+            data = np.frombuffer(b"".join(heads[i][:size] for i in pick), dtype=np.uint8)
+            some = gram_counts(data, np.arange(len(pick) + 1) * size)
+        grams = some.sum(axis=1)
+        v = model.vectors(some)
+        far = np.empty((len(pick), len(model.languages)))
+        for side in (0, 1):
+            rows = half[pick] == side
+            far[rows] = np.stack([1 - (v[rows] @ c.T).max(axis=1) for c in fitted[side]], axis=1)
+        noise = 1 - model.vectors(_noise(size or max(1, int(np.median(grams) / 3.5)), 40, rng)) @ np.vstack([c for parts in fitted for c in parts]).T
+        owner = np.concatenate([np.full(len(c), n) for parts in fitted for n, c in enumerate(parts)])
+        others = far.copy()
+        others[np.arange(len(pick)), own[pick]] = np.inf
+        nearest = others.argmin(axis=1)
+        level = []
+        for n in range(len(model.languages)):
+            mine, rest = (own[pick] == n) & (grams > 0), (own[pick] != n) & (grams > 0)
+            close = rest & (nearest == n)
+            level.append(np.nan if mine.sum() < (10 if len(levels) > 1 else 1) else _between(far[mine, n], far[close if close.sum() >= 20 else rest, n], noise[:, owner == n].min(axis=1)))
+        radius.append(level)
+        sizes.append(np.log(max(1.0, float(np.median(grams)))))
+    order = np.argsort(sizes, kind="stable")
+    out, at = np.array(radius)[order].T, np.array(sizes)[order]
+    # a size at which a language has too few texts takes the radius between its other sizes, a language without any the mean
+    known = ~np.isnan(out)
+    for n in np.flatnonzero(known.any(axis=1)):
+        out[n] = np.interp(at, at[known[n]], out[n, known[n]])
+    out[~known.any(axis=1)] = out[known.any(axis=1)].mean(axis=0) if known.any() else 1.0
+    return out, at
+
+
 def _training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     """The ``per_language`` rows of least hash of each language, found without shuffling texts."""
     hashed = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and length(text) > 0")
@@ -121,29 +194,28 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, s
             for lo, hi, data, off in tx.chunks(b, "text", size=1 << 19):
                 packed = gram_counts(data, off).astype(np.uint16 if np.diff(off).max(initial=0) < 65_536 else np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("lang").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([r.astype(np.uint32).tobytes() for r in packed], pa.binary())], ["lang", "h", "counts"]
+                    [
+                        *[b.column(c).slice(lo, hi - lo) for c in ("lang", "h")], pa.array([r.astype(np.uint32).tobytes() for r in packed], pa.binary()),
+                        pa.array([data[x : min(y, x + PREFIXES[-1] + 1)].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary()),
+                    ],
+                    ["lang", "h", "counts", "head"],
                 )
 
-    rows = _training_rows(docs, per_language).mapInArrow(count, "lang string, h long, counts binary").toPandas()
+    rows = _training_rows(docs, per_language).mapInArrow(count, "lang string, h long, counts binary, head binary").toPandas()
     rows = rows.sort_values(["lang", "h"]).groupby("lang").head(per_language)
     if not len(rows):
         z = np.zeros((0, DIMS), dtype=np.float32)
-        return Model([], np.ones(DIMS, dtype=np.float32), z, np.zeros(0, dtype=int), np.zeros(0))
+        return Model([], np.ones(DIMS, dtype=np.float32), z, np.zeros(0, dtype=int), np.zeros((0, 1)), np.zeros(1))
     counts = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows["counts"]]).astype(np.float32)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
-    model = Model(sorted(rows["lang"].unique()), idf, np.zeros((0, DIMS), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(0))
+    model = Model(sorted(rows["lang"].unique()), idf, np.zeros((0, DIMS), dtype=np.float32), np.zeros(0, dtype=int), np.zeros((0, 1)), np.zeros(1))
     x, rng, lang = model.vectors(counts), np.random.default_rng(seed), rows["lang"].to_numpy()
-    size = counts.sum(axis=1)
-    parts, radius = [], []
+    parts = []
     for name in model.languages:
-        own = x[lang == name]
-        c = _kmeans(own, k, rng)
-        parts.append(c)
-        distance = 1 - (own @ c.T).max(axis=1) - 3.2 / np.sqrt(np.maximum(size[lang == name], 1))
-        radius.append(SLACK * max(0.05, float(np.quantile(distance, 0.995))))
+        parts.append(_kmeans(x[lang == name], k, rng))
     model.centroids = np.vstack(parts).astype(np.float32)
     model.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    model.radius = np.array(radius)
+    model.radius, model.sizes = _radii(model, counts, [bytes(h) for h in rows["head"]], lang, k, rng)
     return model
 
 

@@ -168,6 +168,18 @@ def test_languages_held_out_and_rejected(spark):
     assert np.mean([found[i]["lang"] == k for i, _, k in held]) >= 0.97 and found[900]["lang"] == found[902]["lang"] == "und" and found[901]["score"] is None
 
 
+def test_texts_of_a_language_without_labels_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(13)
+    noise = [(-1 - i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(400)), "und") for i in range(20)]
+    out = sorted(r["lang"] for r in docs.select("lang").distinct().collect())[0]
+    model = langid.fit(docs.where(F.col("lang") != out))
+    found = langid.identify(docs.union(spark.createDataFrame(noise, docs.schema)), model).withColumnRenamed("lang", "got").join(docs.union(spark.createDataFrame(noise, docs.schema)), "doc_id").collect()
+    assert np.mean([r["got"] == "und" for r in found if r["lang"] == out]) >= 0.9
+    assert np.mean([r["got"] == r["lang"] for r in found if r["lang"] not in (out, "und")]) >= 0.9
+    assert all(r["got"] == "und" for r in found if r["lang"] == "und")
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
