@@ -11,7 +11,8 @@ contaminated by an item if some window of the item's length holds at least ``THR
 3. Candidates are verified exactly by sliding a window of the item's length over the hits.
 
 Defined cases: null or word-free texts neither match nor are matched; a null doc_id takes part and is returned as
-null; rows that repeat id and text are one document; two items with the same text both match. Empty tables give an
+null; rows that repeat id and text are one document; two items with the same text both match; items with a null id take part, and items that share an id
+but not the text are separate, each with its own row (rows that repeat id and text are one item). Empty tables give an
 empty result. Extra columns are not read.
 """
 
@@ -36,11 +37,11 @@ MAX_BROADCAST_SHINGLES = 4_000_000
 
 
 def benchmark_shingles(items: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, h, width, length): distinct shingles of each item, words in a shingle, shingle positions in the item."""
+    """(item, item_id, h, width, length), item being the hash of id and text: distinct shingles of each item, words in a shingle, shingle positions in the item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = b.column("item_id").to_pylist(), []
+            ids, items, out = b.column("item_id").to_pylist(), b.column("item").to_pylist(), []
             for lo, hi, data, off in tx.chunks(b, "text"):
                 h, row = tx.words(data, off)
                 for r in range(hi - lo):
@@ -48,12 +49,13 @@ def benchmark_shingles(items: DataFrame, n: int = N) -> DataFrame:
                     width = min(n, len(own))
                     if width:
                         s, _ = tx.shingles(own, np.zeros(len(own), dtype=np.int64), width)
-                        out += [(ids[lo + r], x, width, len(s)) for x in np.unique(tx.signed(s)).tolist()]
+                        out += [(items[lo + r], ids[lo + r], x, width, len(s)) for x in np.unique(tx.signed(s)).tolist()]
             if out:
                 c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], ["item_id", "h", "width", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], ["item", "item_id", "h", "width", "length"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").mapInArrow(cut, "item_id long, h long, width int, length int").distinct()
+    item = F.col("item_id").cast("long")
+    return items.select(F.xxhash64(item, "text").alias("item"), item.alias("item_id"), "text").where("text is not null").mapInArrow(cut, "item long, item_id long, h long, width int, length int").distinct()
 
 
 def _scan(docs: DataFrame, widths: list[int], keep: np.ndarray | None) -> DataFrame:
@@ -106,7 +108,7 @@ def _best_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best = max(best, (len(held), -hits[lo]["pos"]))
             most.append(best[0])
             where.append(-best[1])
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "doc_id", "item_id", "size", "need")], pa.array(most, pa.int32()), pa.array(where, pa.int32())], ["k", "doc_id", "item_id", "size", "need", "most", "at"])
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "doc_id", "item", "item_id", "size", "need")], pa.array(most, pa.int32()), pa.array(where, pa.int32())], ["k", "doc_id", "item", "item_id", "size", "need", "most", "at"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, limit: int = MAX_BROADCAST_SHINGLES) -> DataFrame:
@@ -121,23 +123,23 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
         hits = _scan(docs, widths, None).join(known, "h", "left_semi").select("k", "doc_id", "pos", "h", "n")
     hits = materialise(hits.distinct(), "hits")
     spread = hits.groupBy("h").agg(F.countDistinct("k").alias("df"))
-    order = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "h")
+    order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "h")
     ranked = (
         grams.join(spread, "h", "left")
         .withColumn("rank", F.row_number().over(order) - 1)
-        .withColumn("size", F.count("*").over(Window.partitionBy("item_id")))
+        .withColumn("size", F.count("*").over(Window.partitionBy("item")))
         .withColumn("need", F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * threshold, 9)).cast("int")))
     )
     prefix = ranked.where("rank <= size - need")
     candidates = (
-        hits.join(prefix.select("h", "item_id", "rank", "size", "need", "length", "width"), "h")
+        hits.join(prefix.select("h", "item", "item_id", "rank", "size", "need", "length", "width"), "h")
         .where("n - width + 1 >= need and size - rank >= need")
-        .select("k", "item_id", "size", "need", "length")
+        .select("k", "item", "item_id", "size", "need", "length")
         .distinct()
     )
-    matched = hits.join(candidates, "k").join(grams.select("item_id", "h"), ["item_id", "h"])
-    whole = matched.groupBy("k", "doc_id", "item_id", "size", "need", "length").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hits"))
-    found = whole.mapInArrow(_best_window, "k long, doc_id long, item_id long, size long, need int, most int, at int")
+    matched = hits.join(candidates, "k").join(grams.select("item", "h"), ["item", "h"])
+    whole = matched.groupBy("k", "doc_id", "item", "item_id", "size", "need", "length").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hits"))
+    found = whole.mapInArrow(_best_window, "k long, doc_id long, item long, item_id long, size long, need int, most int, at int")
     return found.where("most >= need").select("k", "doc_id", "item_id", F.round(F.col("most") / F.col("size"), 6).alias("containment"), "at")
 
 

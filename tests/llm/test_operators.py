@@ -212,6 +212,14 @@ def test_decontamination_matches_brute_force(spark, limit):
     assert {(r["doc_id"], r["item_id"]): r["containment"] for r in found} == brute_containment(list(enumerate(texts)), items) and len(found) == len({(r["doc_id"], r["item_id"]) for r in found})
 
 
+def test_items_with_null_or_shared_ids_are_found(spark):
+    rng = np.random.default_rng(14)
+    texts = [prose(30, rng) for _ in range(3)]
+    items = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[2])], "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, texts), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["containment"]) for r in found} == {(0, None, 1.0), (1, 1, 1.0), (2, 1, 1.0)} and len(found) == 3
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
