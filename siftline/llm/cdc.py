@@ -1,14 +1,25 @@
-"""Repeated passages by content-defined chunking.
+"""Passages repeated across documents, by content-defined chunking.
 
-A gear rolling hash runs over the bytes of a text: h = (h << 1) + gear[byte], so its top bits depend on the last 32
-bytes. A chunk ends where the hash's top ``MASK_BITS`` bits are zero and the chunk has ``MIN_CHUNK`` bytes. Boundaries
-depend on nearby bytes only, hence an insertion shifts no chunk beyond its surroundings. Chunks are deduplicated by
-digest: the occurrence of least (doc_id, row key, offset) stays, later ones are repeats. Neighbouring repeats form one
-run; runs below ``MIN_RUN`` bytes are ignored, which leaves chance repeats of short phrases alone.
+Chunks
+    A gear rolling hash runs over the bytes of a text: h = (h << 1) + gear[byte], so it depends on the last 32 bytes. A
+    chunk ends where the hash is greater than at the ``REACH`` positions before and at none after it within ``REACH``
+    less. Boundaries depend on 32 + 2 * ``REACH`` nearby bytes only, hence an insertion shifts no chunk beyond its
+    surroundings, and chunks have more than ``REACH`` bytes.
+Anchors
+    Chunks are deduplicated by digest: a chunk that several documents hold is an anchor to the document that holds it
+    first (least doc_id, then row key). So are blocks of two and three neighbouring chunks that several documents hold;
+    where a chunk alone leads to a document that shares no more than it, a block leads to one that does.
+Runs
+    Anchors that are neighbours in both documents form a run. Runs are extended byte by byte to both sides as long as
+    the two texts agree; for this only windows around the ends of runs leave the texts, larger ones in a next round
+    for the few runs that agree throughout. Extended runs of ``MIN_WORDS`` words and more are the result, without
+    those inside another one. A false anchor by equal digests would have to be continued by as many words.
 
-Defined cases: null ids and null or empty texts give no rows; rows that repeat id and text are one document; repeats
-inside one document count; a text without a boundary is one chunk. Offsets are in UTF-8 bytes. An empty table gives an
-empty result. Extra columns are not read.
+Defined cases: null ids and null or empty texts give no rows; rows that repeat id and text are one document; rows that
+share an id but not the text are two; repeats inside one document don't count; the first holder keeps its passage. A
+text without a boundary is one chunk. Offsets are in UTF-8 bytes, never inside a character, but they may be inside a
+word whose first letters agree as well; words are runs of bytes
+above the blank, counted where they begin. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,46 +35,53 @@ from . import textops as tx
 from .rows import free_name, row_key
 from .scratch import materialise
 
-MASK_BITS = 5
-MIN_CHUNK = 24
-MIN_RUN = 120
+REACH = 32
+MIN_WORDS = 50
+BLOCKS = (1, 2, 3)
+WINDOW = 512
 _GEAR = np.random.default_rng(977).integers(0, 1 << 32, 256, dtype=np.uint32)
+_FAR = 1 << 30
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Positions after which the gear hash allows a cut, not yet spaced by the minimum length."""
+def gear(data: np.ndarray) -> np.ndarray:
+    """Rolling hash at each byte, over the 32 bytes that end there."""
     with np.errstate(over="ignore"):
         h = _GEAR[data]
         for step in (1, 2, 4, 8, 16):  # windows of 2, 4 ... 32 bytes by doubling
             if len(h) > step:
                 h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-    at = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1
-    return at[(at == len(data)) | ((data[np.minimum(at, len(data) - 1)] & 0xC0) != 0x80)]  # never inside a character
+    return h
 
 
-def cut(data: np.ndarray, off: np.ndarray, least: int = MIN_CHUNK) -> tuple[np.ndarray, np.ndarray]:
+def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the chunks of every row."""
-    # a hash whose window reaches into the row before is not trusted: the first 31 bytes allow no cut
-    marks = boundaries(data)
-    row = np.searchsorted(off, marks - 1, side="right") - 1
-    marks = marks[marks - off[row] >= max(32, least)]
-    ends: list[int] = []
-    m, k, n = marks.tolist(), 0, len(marks)
-    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        if lo == hi:
-            continue
-        last = lo
-        while k < n and m[k] < hi:
-            if m[k] - last >= least:
-                last = m[k]
-                ends.append(last)
-            k += 1
-        if k < n and m[k] == hi:
-            k += 1
-        ends.append(hi)
-    e = np.array(ends, dtype=np.int64)
-    s = np.concatenate([[0], e[:-1]]) if len(e) else e
-    return s, e
+    ends = off[1:][np.diff(off) > 0]
+    n, w = len(data), REACH
+    if n > 32 + 2 * w:
+        h = gear(data)
+        top, step = h, 1
+        while step < w:  # top[i] = greatest of h[i : i + w]
+            top = np.maximum(top[:-step], top[step:])
+            step *= 2
+        p = np.arange(w, n - w)
+        ok = (h[w : n - w] > top[: n - 2 * w]) & (h[w : n - w] >= top[w + 1 : n - w + 1])
+        p = p[ok]
+        row = np.searchsorted(off, p, side="right") - 1
+        # the whole neighbourhood lies in the row, and the cut isn't inside a character
+        p = p[(p - off[row] >= 31 + w) & (off[row + 1] - p > w)]
+        p = p[(data[p + 1] & 0xC0) != 0x80]
+        ends = np.sort(np.concatenate([p + 1, ends]))
+    return np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, ends
+
+
+def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """S with S[i] = number of words that begin before byte i; a word never crosses a row."""
+    black = data > 32
+    start = black.copy()
+    start[1:] &= ~black[:-1]
+    first = off[:-1][off[:-1] < len(data)]
+    start[first] = black[first]
+    return np.concatenate([[0], np.cumsum(start)])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,43 +91,170 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s):
                 continue
             row = np.searchsorted(off, s, side="right") - 1
-            digest = tx.span_hashes(tx.prefix_sums(data), s, e)
-            pick = pa.array(row + first)
+            digest, words, pick = tx.span_hashes(tx.prefix_sums(data), s, e), word_starts(data, off), pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pick), b.column("k").take(pick), pa.array((s - off[row]).astype(np.int32)), pa.array((e - off[row]).astype(np.int32)), pa.array(tx.signed(digest))],
-                ["doc_id", "k", "start", "end", "digest"],
+                [b.column("doc_id").take(pick), b.column("k").take(pick), *[pa.array(x.astype(np.int32)) for x in (s - off[row], e - off[row], words[e] - words[s])], pa.array(tx.signed(digest))],
+                ["doc_id", "k", "start", "end", "words", "digest"],
             )
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, start, end, digest) of all chunks."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_chunks, "doc_id long, k long, start int, end int, digest long")
+    """(doc_id, k, start, end, words, digest) of all chunks."""
+    return _texts(docs).mapInArrow(_chunks, "doc_id long, k long, start int, end int, words int, digest long")
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key several documents hold, with the least such doc_id as ``source``."""
+    found = rows.groupBy(key).agg(F.min("doc_id").alias("source"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select(key, "source")
+    return rows.join(found, key)
+
+
+def anchors(chunks: DataFrame) -> DataFrame:
+    """(k, doc_id, sk, source, start, end, words, sstart): chunks of a document, and the same bytes in an earlier one."""
+    again = materialise(_shared(chunks, "digest").drop("source"), "shared").distinct()
+    order = Window.partitionBy("k").orderBy("start")
+    part = F.struct("start", "end", "words")
+    ahead = again.select("k", "doc_id", "start", "digest", F.array(part).alias("parts"), *[F.lead(F.struct("digest", *["start", "end", "words"]), i).over(order).alias(f"next{i}") for i in range(1, max(BLOCKS))])
+    blocks, parts, digests, touching = [], F.col("parts"), [F.col("digest")], F.lit(True)
+    for size in range(1, max(BLOCKS) + 1):
+        if size > 1:
+            more, last = F.col(f"next{size - 1}"), F.element_at(parts, -1)
+            touching = touching & (more["start"] == last["end"])
+            parts = F.concat(parts, F.array(F.struct(more["start"].alias("start"), more["end"].alias("end"), more["words"].alias("words"))))
+            digests = [*digests, more["digest"]]
+        if size in BLOCKS:
+            blocks.append(F.when(touching, F.struct(F.xxhash64(F.lit(size), *digests).alias("key"), parts.alias("parts"))))
+    rows = ahead.select("k", "doc_id", "start", F.explode(F.array_compact(F.array(*blocks))).alias("b")).select("k", "doc_id", "start", "b.key", "b.parts")
+    rows = materialise(_shared(rows, "key"), "blocks")
+    first = rows.where("doc_id = source").groupBy("key").agg(F.min(F.struct("k", "start")).alias("first"))
+    hits = rows.join(first, "key").where("k != first.k").select("k", "doc_id", F.col("first.k").alias("sk"), "source", (F.col("start") - F.col("first.start")).alias("shift"), F.explode("parts").alias("p"))
+    return hits.select("k", "doc_id", "sk", "source", "p.start", "p.end", "p.words", (F.col("p.start") - F.col("shift")).alias("sstart")).distinct()
+
+
+_RUN = ("k", "doc_id", "sk", "source")
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Rows that touch or overlap on one diagonal become one; ``left`` are the words by which a row was extended to its left."""
+    line = Window.partitionBy("k", "sk", "shift").orderBy("start")
+    rows = rows.withColumn("last", F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("new", F.coalesce((F.col("start") > F.col("last")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(line))
+    # a gap that agrees was walked from both of its ends
+    words = F.col("words") - F.when((F.col("new") == 0) & (F.col("start") < F.col("last")), F.col("left")).otherwise(0)
+    return rows.groupBy(*_RUN, "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(words).alias("words")).drop("run")
+
 
+def _cut_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            texts = b.column("text").cast(pa.large_binary())
+            for k, places, text in zip(b.column("k").to_pylist(), b.column("places").to_pylist(), texts, strict=True):
+                raw = text.as_buffer()
+                for x in places:
+                    at, side = x["pos"], x["side"]
+                    # one more byte before, which tells whether a word begins at the first one
+                    out.append((k, at, side, raw[max(0, at - size - 1) : at].to_pybytes() if side < 0 else raw[at - 1 : at + size].to_pybytes()))
+            if out:
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["k", "pos", "side", "window"])
 
-def repeats(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
-    """(doc_id, k, start, end, first_doc_id): each run of repeated chunks, and a document that holds it first."""
+    return run
+
+
+def agreement(mine: bytes, other: bytes, side: int, room: int, size: int) -> tuple[int, int, bool]:
+    """(bytes, words that begin in them, whether there may be more) by which two texts agree from a point on.
+
+    To the left windows end at the point; to the right they begin one byte before it. A window that is shorter than
+    asked for ends with its text.
+    """
+    a, b = np.frombuffer(mine, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
+    x, y = (a[::-1], b[::-1]) if side < 0 else (a[1:], b[1:])
+    most = min(len(x), len(y), room, size)
+    differ = np.flatnonzero(x[:most] != y[:most])
+    n = int(differ[0]) if len(differ) else most
+    more = not len(differ) and n < room and n == size
+    if side < 0:
+        while n and not more and (x[n - 1] & 0xC0) == 0x80:
+            n -= 1
+        piece = a[len(a) - n :]
+        before = a[len(a) - n - 1] if n < len(a) else 0
+    else:
+        while n and not more and n < len(x) and (x[n] & 0xC0) == 0x80:
+            n -= 1
+        piece, before = a[1 : n + 1], a[0]
+    black = np.concatenate([[before], piece]) > 32
+    return n, int((black[1:] & ~black[:-1]).sum()), more
+
+
+def _extend(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [agreement(x, y, side, room, size) for x, y, side, room in zip(*[b.column(c).to_pylist() for c in ("mine", "other", "side", "room")], strict=True)]
+            if found:
+                n, w, more = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _EDGE], pa.array(n, pa.int32()), pa.array(w, pa.int32()), pa.array(more, pa.bool_())], [*_EDGE, "bytes", "found", "more"])
+
+    return run
+
+
+_EDGE = ("k", "sk", "shift", "start", "side", "pos", "room")
+
+
+def _extended(texts: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """``runs`` with both ends moved as far as the texts agree."""
+    line = Window.partitionBy("k", "sk", "shift").orderBy("start")
+    left = F.least(F.col("start"), F.col("start") - F.col("shift"), F.coalesce(F.col("start") - F.lag("end").over(line), F.lit(_FAR)))
+    right = F.coalesce(F.lead("start").over(line) - F.col("end"), F.lit(_FAR))
+    ends = F.array(F.struct(F.lit(-1).alias("side"), F.col("start").alias("pos"), left.alias("room")), F.struct(F.lit(1).alias("side"), F.col("end").alias("pos"), right.alias("room")))
+    edges = runs.select("k", "sk", "shift", "start", ends.alias("e")).select("k", "sk", "shift", "start", F.explode("e").alias("e")).select("k", "sk", "shift", "start", "e.*").where("room > 0")
+    done = None
+    while True:
+        edges = materialise(edges, "edges")
+        if done is not None and edges.isEmpty():
+            break
+        ask = edges.select("k", "pos", "side").union(edges.select("sk", F.col("pos") - F.col("shift"), "side")).distinct()
+        places = ask.groupBy("k").agg(F.collect_list(F.struct("pos", "side")).alias("places"))
+        cut = texts.select("k", "text").join(places, "k").mapInArrow(_cut_windows(size), "k long, pos int, side int, window binary")
+        cut = cut.groupBy("k", "pos", "side").agg(F.first("window").alias("window"))
+        own = cut.withColumnRenamed("window", "mine")
+        other = cut.select(F.col("k").alias("sk"), F.col("pos").alias("spos"), "side", F.col("window").alias("other"))
+        both = edges.join(own, ["k", "pos", "side"]).withColumn("spos", F.col("pos") - F.col("shift")).join(other, ["sk", "spos", "side"])
+        moved = materialise(both.select(*_EDGE, "mine", "other").mapInArrow(_extend(size), "k long, sk long, shift int, start int, side int, pos int, room int, bytes int, found int, more boolean"), "moved")
+        done = moved if done is None else done.union(moved)
+        edges = moved.where("more").select("k", "sk", "shift", "start", "side", (F.col("pos") + F.col("side") * F.col("bytes")).alias("pos"), (F.col("room") - F.col("bytes")).alias("room"))
+        size *= 8
+    side = lambda name, x: F.sum(F.when(F.col("side") == x, F.col(name)).otherwise(0))
+    sums = done.groupBy("k", "sk", "shift", "start").agg(side("bytes", -1).alias("before"), side("bytes", 1).alias("after"), side("found", -1).alias("left"), F.sum("found").alias("more"))
+    whole = runs.join(sums, ["k", "sk", "shift", "start"], "left").na.fill(0, ["before", "after", "left", "more"])
+    whole = whole.select(*_RUN, "shift", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), (F.col("words") + F.col("more")).alias("words"), "left")
+    return _joined(whole)
+
+
+def repeats(docs: DataFrame, least: int = MIN_WORDS, size: int = WINDOW) -> DataFrame:
+    """(doc_id, k, start, end, words, first_doc_id): each passage of ``least`` words that an earlier document holds."""
     chunks = materialise(chunk_table(docs), "chunks")
-    found = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "start")).alias("first")).where("n > 1").drop("n")
-    again = chunks.join(found, "digest").where(F.struct("doc_id", "k", "start") != F.col("first"))
-    again = again.select("doc_id", "k", "start", "end", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    order = Window.partitionBy("doc_id", "k").orderBy("start")
-    runs = again.withColumn("new", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    return (
-        runs.groupBy("doc_id", "k", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-        .where(F.col("end") - F.col("start") >= least)
-        .select("doc_id", "k", "start", "end", "first_doc_id")
-    )
+    found = anchors(chunks).withColumn("shift", F.col("start") - F.col("sstart")).withColumn("left", F.lit(0))
+    runs = materialise(_joined(found), "runs")
+    runs = _extended(_texts(docs), runs, size).where(F.col("words") >= least)
+    order = Window.partitionBy("k").orderBy("start", F.desc("end"), "source", "sk", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("covered", F.max("end").over(order)).where("covered is null or end > covered")
+    return runs.select("doc_id", "k", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("words").cast("int").alias("words"), F.col("source").alias("first_doc_id"))
 
 
 def strip_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the byte ranges of ``found`` (from :func:`repeats`) taken out of ``text``."""
-    key = free_name(docs, "__row_key")
-    spans = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("k", key)
-    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
+    """``docs`` with the byte ranges of ``found`` (from :func:`repeats`) taken out of ``text``; rows without any, null
+    ids and texts among them, come back as they are, and so do all other columns."""
+    key, spans = free_name(docs, "__row_key"), free_name(docs, "__spans")
+    cut = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans)).withColumnRenamed("k", key)
+    joined = docs.withColumn(key, row_key()).join(cut, key, "left")
+    piece = "substring(cast(text as binary), s.at + 1, greatest(0, x.start - s.at))"
     raw = F.expr(
-        "decode(aggregate(__spans, named_struct('at', 0, 'out', cast('' as binary)), (s, x) -> named_struct('at', x.end, 'out', concat(s.out, substring(cast(text as binary), s.at + 1, x.start - s.at))),"
+        f"decode(aggregate({spans}, named_struct('at', 0, 'out', cast('' as binary)), (s, x) -> named_struct('at', greatest(s.at, x.end), 'out', concat(s.out, {piece})),"
         " s -> concat(s.out, substring(cast(text as binary), s.at + 1, octet_length(text)))), 'UTF-8')"
     )
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(raw)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(raw)).select(docs.columns)

@@ -69,7 +69,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "first_doc_id")
+    return cdc.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "first_doc_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

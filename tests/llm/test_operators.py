@@ -8,40 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import cdc, chat, decontaminate, langid, linededup, mixing, ngram_lm, quality, simhash, stages, url_filter
+from siftline.llm import chat, decontaminate, langid, linededup, mixing, ngram_lm, quality, simhash, stages, url_filter
 from siftline.llm import textops as tx
 from siftline.llm.queries import op8_lm_score
 
-RNG = np.random.default_rng(5)
-WORDS = ["w" + "".join(RNG.choice(list("abcdefghij"), 6)) for _ in range(400)]
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["k", "h", "n", "keep", "__row_key", "__gone", "__rank", "group_id", "quality", "votes", "mix_source", "lines_removed", "start", "bucket"]
-
-
-def prose(n, rng=RNG):
-    return " ".join(rng.choice(WORDS, n))
-
-
-def frame(spark, texts, **more):
-    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCS)
-
-
-def odd_rows(spark, extra=True):
-    """Nulls in every column, empty and very long texts, repeated rows, repeated ids, clashing extra columns."""
-    long = "\n".join(prose(40) for _ in range(1500))
-    rows = [
-        (1, None, "en", "src0", None), (None, "no id but text here", "en", "src0", 3), (2, "", "en", "src1", 0), (3, "   \n ", "en", "src1", 5), (4, "a good line of words.\nanother good line of words.", None, "src2", 7),
-        (4, "a good line of words.\nanother good line of words.", None, "src2", 7), (5, "same id one text", "en", None, 1), (5, "same id other text", "en", "src0", 1), (6, long, "de", "src0", None), (7, long, "de", "src1", None),
-        (None, None, None, None, None), (8, "...!!! ???", "en", "src9", 1), (9, "üñ中文 \U0001f600 café", "fr", "src1", 2),
-    ]
-    df = spark.createDataFrame(rows, DOCS)
-    return df.select("*", *[F.lit("x").alias(c) for c in CLASH]) if extra else df
-
-
-def empty(spark):
-    return spark.createDataFrame([], DOCS)
-
+from llm_fixtures import CLASH, DOCS, RNG, WORDS, empty, frame, odd_rows, prose
 
 FILTERS = {
     "quality": stages.drop_low_quality,
@@ -362,30 +333,3 @@ def test_clean_text_stays_and_junk_goes(spark):
     kept = lambda label: np.mean([r["keep"] for r in rows if r["label"] == label])
     assert kept(1) >= 0.97, kept(1)
     assert kept(0) <= 0.5, kept(0)
-
-
-# 10 --------------------------------------------------------------------------------------------------------------
-
-
-def test_chunks_tile_the_text_and_survive_insertions():
-    text = np.frombuffer((" ".join(WORDS * 4) + " é中" * 50).encode(), dtype=np.uint8)
-    s, e = cdc.cut(text, np.array([0, len(text)]))
-    assert s[0] == 0 and e[-1] == len(text) and (s[1:] == e[:-1]).all()
-    moved = np.concatenate([np.frombuffer(b"inserted ", dtype=np.uint8), text])
-    s2, e2 = cdc.cut(moved, np.array([0, len(moved)]))
-    assert len(set(e.tolist()) & set((e2 - 9).tolist())) >= len(e) - 4
-
-
-def test_shared_passages_are_found_and_clean_texts_left(spark):
-    rng = np.random.default_rng(10)
-    passage = prose(60, rng)
-    texts = [f"{prose(50, rng)} {passage} {prose(40, rng)}", f"{prose(33, rng)} {passage} {prose(10, rng)}", prose(300, rng), None, ""]
-    docs = frame(spark, texts)
-    found = cdc.repeats(docs)
-    rows = found.collect()
-    assert {r["doc_id"] for r in rows} == {1} and {r["first_doc_id"] for r in rows} == {0}
-    lo, hi = min(r["start"] for r in rows), max(r["end"] for r in rows)
-    assert texts[1].encode()[lo:hi].decode() in passage and hi - lo > 0.6 * len(passage)
-    out = {r["doc_id"]: r["text"] for r in cdc.strip_repeats(docs, found).collect()}
-    assert out[1] == texts[1][:lo] + texts[1][hi:] and out[0] == texts[0] and out[3] is None
-    assert cdc.repeats(empty(spark)).count() == 0 and cdc.repeats(odd_rows(spark)).select("doc_id").distinct().count() >= 1
