@@ -6,15 +6,17 @@ block for each bucket of the context's hash; blocks are shuffled, not rows. Each
 sorted hash arrays and written to one file in the shared folder; its distinct suffixes go on to the next lower order,
 where they give continuation counts, and so on down to single words. Counts and statistics cover all documents.
 
-A file holds, for one order and bucket: sorted 64-bit keys and counts of the n-grams, sorted keys of contexts and
-their statistics; as few statistics differ, each distinct row of them is stored once and contexts hold its number.
-Workers map these files into memory read-only, so the page cache of a node holds one copy. All n-grams are stored.
-Only if a caller raises ``min_counts`` are those below it left out; their probability mass then goes to the lower
+A file holds, for one order and bucket: the sorted hashes and counts of the n-grams, those of contexts and their
+statistics; as few statistics differ, each distinct row of them is stored once and contexts hold its number. A sorted
+array of hashes is stored as 32 bits each below a table of cells: bits that the bucket and the cell tell aren't stored
+again, so a lookup compares 40 bits and more (of n hashes a bucket, 32 + log2(n) - 3 beyond the bucket's own). Counts
+are bytes with a list of the larger ones. Workers map these files into memory read-only, so the page cache of a node
+holds one copy; a file that is missing there is an error. All n-grams are stored. Only if a caller raises ``min_counts`` are those below it left out; their probability mass then goes to the lower
 order, so that each distribution still sums to one, and discounts still come from counts of counts over everything.
 
-A document is ``order - 1`` start marks, its words and an end mark; a word not seen in training is one unknown word. Defined cases: null texts and texts
-without words have null perplexity; a null id stays null; repeated rows are counted and scored as often as they are
-there; an empty training table gives the uniform model. Extra columns are not read.
+A document is ``order - 1`` start marks, its words and an end mark; a word not seen in training is one unknown word.
+Defined cases: null texts and texts without words have null perplexity; a null id stays null; repeated rows are counted
+and scored as often as they are there; an empty training table gives the uniform model. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .scratch import bound_parts, new_path
+from .scratch import bound_parts, file_system, new_path
 
 ORDER = 3
 MIN_COUNTS = (1, 1, 1)
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 CLASSES = 48
 _BLOCK = 2_000_000
+#: Tokens for which one bucket of n-grams is made; a bucket is merged in one task.
+BUCKET_TOKENS = 4_000_000
 _U = np.uint64
 _ROWS = "bucket int, kind int, blob binary"
 _NGRAMS, _CONTEXTS, _STATS = 0, 1, 2
@@ -58,12 +62,35 @@ def keys(columns: Sequence[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarr
     full = chain(columns)
     if len(columns) == 1:
         return full, None
-    context = chain(columns[:-1])
+    context, _ = keys(columns[:-1], bits)
     if len(columns) > 2:
         full = (context >> _U(64 - bits) << _U(64 - bits)) | (full >> _U(bits))
     return full, context
 
 
+def cells(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """A bucket's sorted keys as [head, first key of each cell, 32 bits of each key below bucket and cell]."""
+    deep = max(0, int(len(key)).bit_length() - 4)
+    inside = key << _U(bits)
+    start = np.searchsorted(inside >> _U(64 - deep) if deep else np.zeros(len(key), dtype=np.uint64), np.arange((1 << deep) + 1, dtype=np.uint64))
+    return [np.array([len(key), deep], dtype=np.int64), start.astype(np.uint32), (inside << _U(deep) >> _U(32)).astype(np.uint32)]
+
+
+def places(wanted: np.ndarray, bits: int, deep: int, start: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Index of each wanted key in a bucket's arrays, -1 where it isn't there: bisection inside cells, all keys at once."""
+    inside = wanted << _U(bits)
+    cell = (inside >> _U(64 - deep)).astype(np.int64) if deep else np.zeros(len(wanted), dtype=np.int64)
+    key = (inside << _U(deep) >> _U(32)).astype(np.uint32)
+    lo, hi = start[cell].astype(np.int64), start[cell + 1].astype(np.int64)
+    end, last = hi.copy(), max(0, len(low) - 1)
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (mid < hi) & (low[np.minimum(mid, last)] < key)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    found = (lo < end) & (low[np.minimum(lo, last)] == key) if len(low) else np.zeros(len(wanted), dtype=bool)
+    return np.where(found, lo, -1)
+
+
 def sequences(words: np.ndarray, row: np.ndarray, rows: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, row, is predicted) of all rows with a word: start marks, words, end mark."""
     per = np.bincount(row, minlength=rows) if len(row) else np.zeros(rows, dtype=np.int64)
@@ -98,12 +125,39 @@ def _unplane(raw: memoryview, kind: np.dtype, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
 
 
+def _by_words(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Order of n-grams by first, second ... word."""
+    wide = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(wide) > 64:
+        return np.lexsort(columns[::-1])
+    acc = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c, w in zip(columns, wide, strict=True):
+        acc = (acc << _U(w)) | c.astype(np.uint64)
+    return np.argsort(acc)
+
+
+def _restarts(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Where any of the columns changes, the first row included."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def pack(columns: Sequence[np.ndarray], counts: np.ndarray) -> bytes:
-    """N-grams sorted by their first word, as byte planes, compressed. Frequent words have small numbers."""
-    order = np.argsort(columns[0], kind="stable")
-    columns, counts = [_narrow(c[order]) for c in columns], _narrow(counts[order])
-    head = np.array([len(counts), counts.itemsize, len(columns), *[c.itemsize for c in columns]], dtype=np.int64).tobytes()
-    return head + zstandard.ZstdCompressor(level=3).compress(b"".join(map(_planes, [*columns, counts])))
+    """Sorted n-grams, each word as its distance from the one above it while the words before agree, as compressed byte
+    planes. Frequent words have small numbers."""
+    order = _by_words(columns)
+    columns, steps = [c[order].astype(np.int64) for c in columns], []
+    for i, c in enumerate(columns):
+        step = np.diff(c, prepend=0)
+        new = _restarts(columns[:i]) if i else np.zeros(len(c), dtype=bool)
+        step[new] = c[new]
+        steps.append(_narrow(step.astype(np.uint64)))
+    counts = _narrow(counts[order])
+    head = np.array([len(counts), counts.itemsize, len(steps), *[c.itemsize for c in steps]], dtype=np.int64).tobytes()
+    return head + zstandard.ZstdCompressor(level=3).compress(b"".join(map(_planes, [*steps, counts])))
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -112,9 +166,14 @@ def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     body = memoryview(zstandard.ZstdDecompressor().decompress(blob[24 + 8 * k :], max_output_size=n * (sum(wide) + deep) + 64))
     at, columns = 0, []
     for w in wide:
-        columns.append(_unplane(body[at : at + n * w], np.dtype(f"u{w}"), n).astype(np.uint32 if w <= 4 else np.uint64))
+        c = np.cumsum(_unplane(body[at : at + n * w], np.dtype(f"u{w}"), n).astype(np.int64))
+        if columns:
+            start = np.flatnonzero(_restarts(columns))
+            c -= np.repeat(np.concatenate([[0], c[start[1:] - 1]]), np.diff(start, append=n))
+        columns.append(c)
         at += n * w
-    return columns, _unplane(body[at : at + n * deep], np.dtype(f"u{deep}"), n).astype(np.int64)
+    top = max((int(c.max(initial=0)) for c in columns), default=0)
+    return [c.astype(np.uint32 if top < 1 << 32 else np.uint64) for c in columns], _unplane(body[at : at + n * deep], np.dtype(f"u{deep}"), n).astype(np.int64)
 
 
 def _unique(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +211,7 @@ class Vocabulary:
     folder: str
     bits: int
     base: np.ndarray  # (CLASSES, buckets): first number of a class in a bucket
+    filled: np.ndarray  # buckets that have a file
     _maps: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -166,9 +226,9 @@ class Vocabulary:
         out = np.full(len(u), UNKNOWN, dtype=self.kind)
         for b, lo, hi in _by_bucket(u, self.bits):
             if b not in self._maps:
-                path, raw = f"{self.folder}/words-{b}", bytes(8)
-                if os.path.exists(path):
-                    with open(path, "rb") as f:
+                raw: mmap.mmap | bytes = bytes(8)
+                if self.filled[b]:
+                    with open(f"{self.folder}/words-{b}", "rb") as f:
                         raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
                 n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
                 self._maps[b] = tuple(np.frombuffer(raw, dtype=k, count=n, offset=o) for k, o in ((np.uint64, 8), (np.uint32, 8 + 8 * n), (np.uint8, 8 + 12 * n)))
@@ -217,7 +277,7 @@ def _merge_words(bits: int, folder: str):
         place = np.empty(len(key), dtype=np.uint32)
         place[order] = np.arange(len(key)) - np.repeat(np.cumsum(per) - per, per)
         _write_file(folder, f"words-{bucket}", [np.array([len(key)], dtype=np.int64), key, place, kinds.astype(np.uint8)])
-        return pa.Table.from_batches([_rows([(bucket, _STATS, per.astype(np.int64).tobytes())])])
+        return pa.Table.from_batches([_rows([(bucket, _STATS, np.append(per, n.sum()).astype(np.int64).tobytes())])])
 
     return run
 
@@ -269,15 +329,18 @@ def _write_file(folder: str, name: str, arrays: Sequence[np.ndarray]) -> None:
     os.replace(f.name, f"{folder}/{name}")
 
 
-def _write(folder: str, level: int, bucket: int, key: np.ndarray, counts: np.ndarray, ckey: np.ndarray, stats: np.ndarray) -> None:
+def _write(folder: str, level: int, bucket: int, bits: int, key: np.ndarray, counts: np.ndarray, ckey: np.ndarray, stats: np.ndarray) -> None:
     _, first, code = np.unique(chain(stats.T), return_index=True, return_inverse=True)
-    code, counts = _narrow(code), _narrow(counts.astype(np.uint64))
-    head = np.array([len(key), len(ckey), len(first), code.itemsize, counts.itemsize], dtype=np.int64)
-    _write_file(folder, f"{level}-{bucket}", [head, key.astype(np.uint64), ckey.astype(np.uint64), stats[first].astype(np.float32), code, counts])
+    many = np.flatnonzero(counts >= 255)
+    code = _narrow(code)
+    head = np.array([len(many), len(first), code.itemsize], dtype=np.int64)
+    arrays = [head, *cells(key.astype(np.uint64), bits), *cells(ckey.astype(np.uint64), bits), np.minimum(counts, 255).astype(np.uint8), many.astype(np.uint32), counts[many].astype(np.uint64), stats[first].astype(np.float32), code]
+    # every array begins at a multiple of eight bytes
+    _write_file(folder, f"{level}-{bucket}", [x for a in arrays for x in (a, np.zeros(-a.nbytes % 8, dtype=np.uint8))])
 
 
-def _count_of_counts(level: int, counts: np.ndarray) -> tuple[int, int, bytes]:
-    n = [level, *[int((counts == k).sum()) for k in (1, 2, 3, 4)], int((counts >= 3).sum()), int(counts.sum()), len(counts)]
+def _count_of_counts(level: int, bucket: int, counts: np.ndarray) -> tuple[int, int, bytes]:
+    n = [level, bucket, *[int((counts == k).sum()) for k in (1, 2, 3, 4)], int((counts >= 3).sum()), int(counts.sum()), len(counts)]
     return 0, _STATS, np.array(n, dtype=np.int64).tobytes()
 
 
@@ -302,7 +365,7 @@ def _level(level: int, bits: int, least: int, folder: str):
             del parts
             key, context = keys(columns, bits)
             key, at, n = _unique(key, counts)
-            out.append(_count_of_counts(level, n))
+            out.append(_count_of_counts(level, bucket, n))
             keep = n >= least
             if level > 1:
                 c, s = _statistics(context[at], n, least)
@@ -315,9 +378,11 @@ def _level(level: int, bits: int, least: int, folder: str):
                 out += _emit([x[at] for x in columns[1:]], None, bits)
             key, n = key[keep], n[keep]
         else:
-            key, n = np.zeros(0, dtype=np.uint64), np.zeros(0)
+            key, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            if contexts:
+                out.append(_count_of_counts(level, bucket, n))
         some = stats[:, 1] > 0
-        _write(folder, level, bucket, key, n, ckey[some], stats[some])
+        _write(folder, level, bucket, bits, key, n, ckey[some], stats[some])
         return pa.Table.from_batches([_rows(out or [(0, _STATS, b"")])])
 
     return run
@@ -341,26 +406,34 @@ class Model:
     total: float
     kinds: int
     base: float
+    filled: dict[int, np.ndarray]  # for each level the buckets that have a file
     _maps: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_maps": {}}
 
-    def arrays(self, level: int, bucket: int) -> tuple[np.ndarray, ...]:
-        """(keys, context keys, distinct context statistics, each context's row of them, counts), mapped on first use."""
+    def arrays(self, level: int, bucket: int) -> tuple | None:
+        """Arrays of one file, mapped on first use; None for a bucket without n-grams."""
         if (level, bucket) not in self._maps:
-            path = f"{self.folder}/{level}-{bucket}"
-            raw: mmap.mmap | bytes = np.array([0, 0, 0, 1, 1], dtype=np.int64).tobytes()
-            if os.path.exists(path):
-                with open(path, "rb") as f:
+            self._maps[level, bucket] = None
+            if self.filled[level][bucket]:
+                with open(f"{self.folder}/{level}-{bucket}", "rb") as f:
                     raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-            n, m, rows, wide, deep = (int(x) for x in np.frombuffer(raw, dtype=np.int64, count=5))
-            out, at = [], 40
-            for kind, size in ((np.uint64, n), (np.uint64, m), (np.float32, 5 * rows), (f"u{wide}", m), (f"u{deep}", n)):
-                out.append(np.frombuffer(raw, dtype=kind, count=size, offset=at))
-                at += size * np.dtype(kind).itemsize
-            out[2] = out[2].reshape(rows, 5)
-            self._maps[level, bucket] = tuple(out)
+                at = 0
+
+                def read(kind: object, n: int) -> np.ndarray:
+                    nonlocal at
+                    x = np.frombuffer(raw, dtype=kind, count=n, offset=at)
+                    at += x.nbytes + -x.nbytes % 8
+                    return x
+
+                many, rows, wide = (int(x) for x in read(np.int64, 3))
+                sides = []
+                for _ in range(2):
+                    n, deep = (int(x) for x in read(np.int64, 2))
+                    sides.append((deep, read(np.uint32, (1 << deep) + 1), read(np.uint32, n)))
+                n, m = (len(x[2]) for x in sides)
+                self._maps[level, bucket] = (*sides, read(np.uint8, n), read(np.uint32, many), read(np.uint64, many), read(np.float32, 5 * rows).reshape(rows, 5), read(f"u{wide}", m))
         return self._maps[level, bucket]
 
     def _find(self, level: int, key: np.ndarray, contexts: bool) -> np.ndarray:
@@ -368,12 +441,19 @@ class Model:
         u, inverse = np.unique(key, return_inverse=True)
         out = np.zeros((len(u), 5) if contexts else len(u), dtype=np.float32)
         for b, lo, hi in _by_bucket(u, self.bits):
-            arrays = self.arrays(level, b)
-            known = arrays[1 if contexts else 0]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, u[lo:hi]), len(known) - 1)
-                ok = known[at] == u[lo:hi]
-                out[lo:hi][ok] = arrays[2][arrays[3][at[ok]]] if contexts else arrays[4][at[ok]]
+            if (arrays := self.arrays(level, b)) is None:
+                continue
+            grams, heads, counts, many, large, stats, code = arrays
+            at = places(u[lo:hi], self.bits, *(heads if contexts else grams))
+            ok = at >= 0
+            at = at[ok]
+            if contexts:
+                out[lo:hi][ok] = stats[code[at]]
+            else:
+                n = counts[at].astype(np.float32)
+                if len(many):
+                    n[n == 255] = large[np.searchsorted(many, at[n == 255])]
+                out[lo:hi][ok] = n
         return out[inverse]
 
     def probabilities(self, columns: Sequence[np.ndarray]) -> np.ndarray:
@@ -394,28 +474,33 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, min_counts: Sequence[int] = MIN_COUNTS, buckets: int | None = None) -> Model:
-    """Count all of ``docs`` (column text). The number of buckets follows the session's shuffle partitions."""
+    """Count all of ``docs`` (column text). The number of buckets follows the number of words, unless it is given."""
     if order < 2 or len(min_counts) != order:
         raise ValueError("order is 2 at least, with one minimum count for each order")
     spark = docs.sparkSession
     path = new_path(spark, "lm")
-    if not path.startswith("file:") and "://" in path:
+    if file_system(spark, path) != "file":
         raise RuntimeError("memory mapping needs a shared folder that is mounted as a file system (file://)")
     folder = path.removeprefix("file://").removeprefix("file:")
     bits = max(2, int(np.ceil(np.log2(buckets or bound_parts(spark)))))
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    sizes = np.zeros((CLASSES, 1 << bits), dtype=np.int64)
+    sizes, tokens = np.zeros((CLASSES, 1 << bits), dtype=np.int64), 0
     for r in texts.mapInArrow(_count_words(bits), _ROWS).groupBy("bucket").applyInArrow(_merge_words(bits, folder), _ROWS).collect():
-        sizes[:, r["bucket"]] = np.frombuffer(bytes(r["blob"]), dtype=np.int64)
-    known = Vocabulary(folder, bits, FIRST + (np.cumsum(sizes.reshape(-1)) - sizes.reshape(-1)).reshape(sizes.shape))
+        *per, n = np.frombuffer(bytes(r["blob"]), dtype=np.int64)
+        sizes[:, r["bucket"]] = per
+        tokens += int(n)
+    known = Vocabulary(folder, bits, FIRST + (np.cumsum(sizes.reshape(-1)) - sizes.reshape(-1)).reshape(sizes.shape), sizes.sum(axis=0) > 0)
+    if not buckets:
+        bits = max(bits, int(np.ceil(np.log2(max(1, tokens) / BUCKET_TOKENS))))
     rows = texts.mapInArrow(_first_level(order, bits, spark.sparkContext.broadcast(known)), _ROWS)
     for level in range(order, 0, -1):
         rows = rows.groupBy("bucket").applyInArrow(_level(level, bits, min_counts[level - 1], folder), _ROWS)
-    counts = {n: np.zeros(7, dtype=np.int64) for n in range(1, order + 1)}
+    counts, filled = {n: np.zeros(7, dtype=np.int64) for n in range(1, order + 1)}, {n: np.zeros(1 << bits, dtype=bool) for n in range(1, order + 1)}
     for r in rows.where(F.col("kind") == _STATS).collect():
         if r["blob"]:
             x = np.frombuffer(bytes(r["blob"]), dtype=np.int64)
-            counts[int(x[0])] += x[1:]
+            counts[int(x[0])] += x[2:]
+            filled[int(x[0])][x[1]] = True
     discounts = {n: _discounts(*(int(v) for v in c[:4])) for n, c in counts.items()}
     one, total, kinds = counts[1], float(counts[1][5]), int(counts[1][6])
     d1, d2, d3 = discounts[1]
@@ -424,7 +509,7 @@ def train(docs: DataFrame, order: int = ORDER, min_counts: Sequence[int] = MIN_C
     # what the stored words don't take is spread over all words and the unknown one
     lost = total - sum((k + 1) * v for k, v in enumerate(kept)) - (total - one[0] - 2 * one[1])
     base = (d1 * kept[0] + d2 * kept[1] + d3 * heavy + lost) / total if total else 1.0
-    return Model(known, folder, order, bits, discounts, total, kinds, float(base))
+    return Model(known, folder, order, bits, discounts, total, kinds, float(base), filled)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -34,6 +34,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_system(spark: SparkSession, path: str) -> str:
+    """Scheme of the file system that a path lies in, the session's default one where it names none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
 def clear() -> None:
     """Delete every scratch table of this driver. Only safe once results built on them are written."""
     for path, spark in list(_made.items()):
