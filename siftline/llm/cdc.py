@@ -7,8 +7,8 @@ Chunks
     surroundings, and chunks have more than ``REACH`` bytes.
 Anchors
     Chunks are deduplicated by digest: a chunk that several documents hold is an anchor to the document that holds it
-    first (least doc_id, then row key). So are blocks of two and three neighbouring chunks that several documents hold;
-    where a chunk alone leads to a document that shares no more than it, a block leads to one that does.
+    first (least doc_id, then row key). So is a pair of neighbouring chunks: where a chunk alone leads to a document
+    that shares no more than it, a pair leads to one that does.
 Runs
     Anchors that are neighbours in both documents form a run. Runs are extended byte by byte to both sides as long as
     the two texts agree; for this only windows around the ends of runs leave the texts, larger ones in a next round
@@ -37,8 +37,9 @@ from .scratch import materialise
 
 REACH = 32
 MIN_WORDS = 50
-BLOCKS = (1, 2, 3)
-WINDOW = 512
+WINDOW = 192
+#: Up to this many places (20 bytes each) where runs end are broadcast to the texts; for more the texts are shuffled.
+MAX_BROADCAST_PLACES = 1_000_000
 _GEAR = np.random.default_rng(977).integers(0, 1 << 32, 256, dtype=np.uint32)
 _FAR = 1 << 30
 
@@ -92,9 +93,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             row = np.searchsorted(off, s, side="right") - 1
             digest, words, pick = tx.span_hashes(tx.prefix_sums(data), s, e), word_starts(data, off), pa.array(row + first)
+            base = words[off[row]]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pick), b.column("k").take(pick), *[pa.array(x.astype(np.int32)) for x in (s - off[row], e - off[row], words[e] - words[s])], pa.array(tx.signed(digest))],
-                ["doc_id", "k", "start", "end", "words", "digest"],
+                [b.column("doc_id").take(pick), b.column("k").take(pick), *[pa.array(x.astype(np.int32)) for x in (s - off[row], e - off[row], words[s] - base, words[e] - base)], pa.array(tx.signed(digest))],
+                ["doc_id", "k", "start", "end", "w0", "w1", "digest"],
             )
 
 
@@ -103,49 +105,43 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, start, end, words, digest) of all chunks."""
-    return _texts(docs).mapInArrow(_chunks, "doc_id long, k long, start int, end int, words int, digest long")
+    """(doc_id, k, start, end, w0, w1, digest) of all chunks; w0 and w1 count the words that begin before start and end."""
+    return _texts(docs).mapInArrow(_chunks, "doc_id long, k long, start int, end int, w0 int, w1 int, digest long")
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key several documents hold, with the least such doc_id as ``source``."""
-    found = rows.groupBy(key).agg(F.min("doc_id").alias("source"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select(key, "source")
-    return rows.join(found, key)
+_RUN = ("k", "doc_id", "sk", "source")
 
 
-def anchors(chunks: DataFrame) -> DataFrame:
-    """(k, doc_id, sk, source, start, end, words, sstart): chunks of a document, and the same bytes in an earlier one."""
-    again = materialise(_shared(chunks, "digest").drop("source"), "shared").distinct()
+def anchored_runs(chunks: DataFrame) -> DataFrame:
+    """(k, doc_id, sk, source, shift, start, end, words): runs of chunks that an earlier document holds ``shift`` bytes before."""
+    often = chunks.groupBy("digest").count().where("count > 1").select("digest")
+    again = materialise(chunks.join(often, "digest"), "shared")
+    # one shuffle by document serves both steps; rows that repeat id and text are one document
+    again = again.repartition("k").dropDuplicates(["k", "start"])
     order = Window.partitionBy("k").orderBy("start")
-    part = F.struct("start", "end", "words")
-    ahead = again.select("k", "doc_id", "start", "digest", F.array(part).alias("parts"), *[F.lead(F.struct("digest", *["start", "end", "words"]), i).over(order).alias(f"next{i}") for i in range(1, max(BLOCKS))])
-    blocks, parts, digests, touching = [], F.col("parts"), [F.col("digest")], F.lit(True)
-    for size in range(1, max(BLOCKS) + 1):
-        if size > 1:
-            more, last = F.col(f"next{size - 1}"), F.element_at(parts, -1)
-            touching = touching & (more["start"] == last["end"])
-            parts = F.concat(parts, F.array(F.struct(more["start"].alias("start"), more["end"].alias("end"), more["words"].alias("words"))))
-            digests = [*digests, more["digest"]]
-        if size in BLOCKS:
-            blocks.append(F.when(touching, F.struct(F.xxhash64(F.lit(size), *digests).alias("key"), parts.alias("parts"))))
-    rows = ahead.select("k", "doc_id", "start", F.explode(F.array_compact(F.array(*blocks))).alias("b")).select("k", "doc_id", "start", "b.key", "b.parts")
-    rows = materialise(_shared(rows, "key"), "blocks")
-    first = rows.where("doc_id = source").groupBy("key").agg(F.min(F.struct("k", "start")).alias("first"))
-    hits = rows.join(first, "key").where("k != first.k").select("k", "doc_id", F.col("first.k").alias("sk"), "source", (F.col("start") - F.col("first.start")).alias("shift"), F.explode("parts").alias("p"))
-    return hits.select("k", "doc_id", "sk", "source", "p.start", "p.end", "p.words", (F.col("p.start") - F.col("shift")).alias("sstart")).distinct()
-
-
-_RUN = ("k", "doc_id", "sk", "source")
+    ahead = again.withColumn("next", F.lead(F.struct("digest", "start", "end", "w1")).over(order))
+    span = lambda key, end, w1: F.struct(key.alias("key"), F.col(end).alias("end"), F.col(w1).alias("w1"))
+    pair = F.when(F.col("next.start") == F.col("end"), span(F.xxhash64("digest", "next.digest"), "next.end", "next.w1"))
+    rows = ahead.select("k", "doc_id", "start", "w0", F.explode(F.array_compact(F.array(span(F.col("digest"), "end", "w1"), pair))).alias("b"))
+    rows = rows.select("k", "doc_id", "start", "w0", "b.*")
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "k", "start")).alias("first"))
+    hits = rows.join(first, "key").where("k != first.k")
+    hits = hits.select("k", "doc_id", F.col("first.k").alias("sk"), F.col("first.doc_id").alias("source"), (F.col("start") - F.col("first.start")).alias("shift"), "start", "end", "w0", "w1")
+    return _linked(hits).groupBy(*_RUN, "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words")).drop("run")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their ``run``: those that touch or overlap on one diagonal of two documents have the same."""
+    line = Window.partitionBy("k", "sk", "shift").orderBy("start")
+    rows = rows.withColumn("last", F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumn("new", F.coalesce((F.col("start") > F.col("last")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(line))
 
 
 def _joined(rows: DataFrame) -> DataFrame:
-    """Rows that touch or overlap on one diagonal become one; ``left`` are the words by which a row was extended to its left."""
-    line = Window.partitionBy("k", "sk", "shift").orderBy("start")
-    rows = rows.withColumn("last", F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("new", F.coalesce((F.col("start") > F.col("last")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(line))
+    """Extended runs that touch or overlap become one; ``left`` are the words by which a run was extended to its left."""
     # a gap that agrees was walked from both of its ends
     words = F.col("words") - F.when((F.col("new") == 0) & (F.col("start") < F.col("last")), F.col("left")).otherwise(0)
-    return rows.groupBy(*_RUN, "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(words).alias("words")).drop("run")
+    return _linked(rows).groupBy(*_RUN, "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(words).alias("words")).drop("run")
 
 
 def _cut_windows(size: int):
@@ -219,6 +215,8 @@ def _extended(texts: DataFrame, runs: DataFrame, size: int) -> DataFrame:
             break
         ask = edges.select("k", "pos", "side").union(edges.select("sk", F.col("pos") - F.col("shift"), "side")).distinct()
         places = ask.groupBy("k").agg(F.collect_list(F.struct("pos", "side")).alias("places"))
+        if ask.limit(MAX_BROADCAST_PLACES + 1).count() <= MAX_BROADCAST_PLACES:
+            places = F.broadcast(places)
         cut = texts.select("k", "text").join(places, "k").mapInArrow(_cut_windows(size), "k long, pos int, side int, window binary")
         cut = cut.groupBy("k", "pos", "side").agg(F.first("window").alias("window"))
         own = cut.withColumnRenamed("window", "mine")
@@ -238,8 +236,7 @@ def _extended(texts: DataFrame, runs: DataFrame, size: int) -> DataFrame:
 def repeats(docs: DataFrame, least: int = MIN_WORDS, size: int = WINDOW) -> DataFrame:
     """(doc_id, k, start, end, words, first_doc_id): each passage of ``least`` words that an earlier document holds."""
     chunks = materialise(chunk_table(docs), "chunks")
-    found = anchors(chunks).withColumn("shift", F.col("start") - F.col("sstart")).withColumn("left", F.lit(0))
-    runs = materialise(_joined(found), "runs")
+    runs = materialise(anchored_runs(chunks), "runs")
     runs = _extended(_texts(docs), runs, size).where(F.col("words") >= least)
     order = Window.partitionBy("k").orderBy("start", F.desc("end"), "source", "sk", "shift").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("covered", F.max("end").over(order)).where("covered is null or end > covered")
