@@ -17,9 +17,8 @@ def snippet(tokens: list[str], hits: list[int], info: SnippetInfo = SnippetInfo(
             groups[-1].append(at)
         else:
             groups.append([at])
-    shown = []
+    shown, marked = [], set(hits)
     for group in groups[: info.max_snippets]:
-        marked = set(group)
         lo, hi = max(0, group[0] - reach), min(len(tokens), group[-1] + reach + 1)
         shown.append("".join(f"{info.snippet_start_tag}{t}{info.snippet_end_tag}" if i in marked else t for i, t in enumerate(tokens[lo:hi], lo)))
     out = info.snippet_connector.join(shown)

@@ -1,24 +1,19 @@
-"""Stop words by language, grouped by word class."""
+"""Stop words by language, shortest first."""
 
 from __future__ import annotations
 
 from ..plans.errors import InvalidRequest
 
 _ENGLISH = """
-the a an
-i me my we our us you your he him his she her it its they them their
-who whom which what this that these those
-am is are was were be been being have has had having do does did doing will would shall should can could may might must
-and but or nor so yet if because as until while than though
-of at by for with about against between into through during before after above below to from up down in out on off over under
-again further then once here there when where why how all any both each few more most other some such no not only own same too very just
+a i be he me we if of an in on do no so to up mr or as is us at it by my had did and see she the one are all him can
+man men who two her for our has was his its not but out you now may any said good made like time some were more have
+much such with will them from than been then when upon down into over your this that what must know they only very
+could would there these which other after their great first about should little before
 """
 _GERMAN = """
-der die das den dem des ein eine einen einem einer eines
-ich du er sie es wir ihr mich dich ihn uns euch mir dir ihm mein dein sein
-und oder aber denn weil dass wenn als ob wie
-in im an am auf aus bei beim bis durch für gegen mit nach ohne um unter von vom vor zu zum zur über
-bin bist ist sind war waren wird werden hat haben hatte kann nicht auch nur noch so
+am im um an in so er es zu und die sie wie auf ich bei dem vom zum man den ein von war der mir vor nur zur für das des
+bis als aus hat mit ist sind wird eine nach sich noch auch kann aber über oder dass gibt wurde siehe durch einem haben
+einen einer unter eines nicht werden wurden zwischen bezeichnet
 """
 _SETS = {"en": frozenset(_ENGLISH.split()), "de": frozenset(_GERMAN.split())}
 
@@ -28,7 +23,3 @@ def stopword_set(language: str) -> frozenset[str]:
         return _SETS[language]
     except KeyError:
         raise InvalidRequest(f"no stop words for {language!r}; there are {sorted(_SETS)}") from None
-
-
-def is_stopword(language: str, word: str) -> bool:
-    return word.lower() in stopword_set(language)

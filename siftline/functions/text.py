@@ -22,28 +22,26 @@ def tokens(value: Column | str, chars: str | None = None, grouped: bool = True)
     return F.regexp_extract_all(value, F.lit(f"{sep}{'+' if grouped else ''}|{other}+"), F.lit(0))
 
 
-def is_separator(token: Column | str, chars: str | None = None) -> Column:
-    return F.rlike(F.col(token) if isinstance(token, str) else token, F.lit(f"^{separator_class(chars)}"))
-
-
 def split_tokens(text: str, chars: str | None = None) -> list[str]:
     """The same runs for one Python string."""
     sep = separator_class(chars)
     return re.findall(f"{sep}+|[^{sep[1:]}+", text)
 
 
-_NORMAL = ((r"\([fmn\d]\)", " "), (r"[()]", " "), (r"[{}'\"“]", ""), (r"\s+", " "), (r"[,.…;・’\-]", ""))
+NORMAL = ((r"\([fmn\d]\)", " "), (r"[()]", " "), (r"[{}'\"“]", ""), (r"\s+", " "), (r"[,.…;・’\-]", ""))
 
 
 def normalize_text(text: str) -> str:
     """Terms as highlighting looks them up: no brackets, quotes or punctuation, single blanks, lower case."""
-    for pattern, to in _NORMAL:
+    for pattern, to in NORMAL:
         text = re.sub(pattern, to, text)
     return text.lower().strip()
 
 
 def normalized(value: Column | str) -> Column:
+    """The same as a column expression."""
     out = F.col(value) if isinstance(value, str) else value
-    for pattern, to in _NORMAL:
+    for pattern, to in NORMAL:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(F.lower(out))
+

@@ -13,7 +13,8 @@ from ..functions import scoring
 from ..plans.request import Boost, Node, Part, PhraseBoost, parts, term_key
 from .flatten import array_prefix
 from .index import Index
-from .match import leaf_hits, matched_terms, whole_value_docs
+from .match import fits, fitting_entries, leaf_hits, matched_terms, swaps, whole_value_docs
+from .tables import text_id, with_tokens
 
 #: Of the locality boosts that reach a document the least is applied.
 LOCALITY_PICKS_LEAST = True
@@ -76,7 +77,7 @@ def _boosted_leaf(index: Index, part: Part, only: DataFrame | None, boosts: tupl
         if prefix and prefix == array_prefix(part.path):
             depth = prefix.count("[]")
             element = lambda pos: F.slice(pos, 1, depth)
-            places = index.entries.where(F.col("path") == part.path).join(matched_terms(index, part).select("term"), "term", "left_semi")
+            places = fitting_entries(index, part, index.leafs).join(matched_terms(index, part).select("term"), "term", "left_semi")
             places = places.select("doc_id", element(F.col("pos")).alias("at")).distinct()
             values = index.boosts.where(F.col("path") == boost.path).select("doc_id", element(F.col("pos")).alias("at"), "boost")
             found = values.join(places, ["doc_id", "at"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "boost"))).alias("bs"))
@@ -120,14 +121,16 @@ def term_boosts(index: Index, hits: DataFrame, boosts: tuple[Part, ...]) -> Data
     """Times ``boost`` (2 unless given) for each part that a whole value fits. Results of parts are kept for reuse."""
     found = []
     for part in boosts:
-        if part not in index.boost_cache:
-            if len(index.boost_cache) >= 10:
-                index.boost_cache.pop(next(iter(index.boost_cache)))
-            index.boost_cache[part] = whole_value_docs(index, replace(part, boost=None))
-        found.append(index.boost_cache[part].select("doc_id", F.lit(float(2.0 if part.boost is None else part.boost)).alias("factor")))
+        plain = replace(part, boost=None)
+        docs = index.boost_term(plain, lambda plain=plain: whole_value_docs(index, plain))
+        found.append(docs.select("doc_id", F.lit(float(2.0 if part.boost is None else part.boost)).alias("factor")))
     return _multiplied(hits, reduce(DataFrame.unionByName, found)) if found else hits
 
 
+def _fitting(part: Part) -> Callable[[Column], Column]:
+    return lambda token: fits(part, token)
+
+
 def text_locality(index: Index, hits: DataFrame, node: Node) -> DataFrame:
     """Documents in which several query terms stand in one text: times 2 n**2 for n matches in that text."""
     by_path: dict[str, list[Part]] = {}
@@ -137,9 +140,16 @@ def text_locality(index: Index, hits: DataFrame, node: Node) -> DataFrame:
     for path, own in by_path.items():
         if len({p.term for p in own}) < 2:
             continue
-        words = reduce(DataFrame.unionByName, [matched_terms(index, p).select(F.lit(i).alias("i"), F.col("term").alias("token")) for i, p in enumerate(own)]).distinct()
-        texts = index.token_texts.where(F.col("path") == path).join(words, "token").groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-        at = index.leafs.where(F.col("path") == path).select("value", "doc_id").join(texts, "value")
+        rows = index.leafs.where(F.col("path") == path)
+        if any(p.top is not None or swaps(p) for p in own):
+            # terms that only the dictionary can tell: texts are found by them, and documents by the texts' ids
+            words = reduce(DataFrame.unionByName, [matched_terms(index, p).select(F.lit(i).alias("i"), F.col("term").alias("token")) for i, p in enumerate(own)]).distinct()
+            texts = index.token_texts.where(F.col("path") == path).join(words, "token").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+            at = rows.select("doc_id", *text_id()).join(texts, ["h1", "h2"])
+        else:
+            # the same count inside each text: distinct tokens that fit, for each part
+            counts = [F.size(F.array_distinct(F.filter("tokens", _fitting(p)))) for p in own]
+            at = with_tokens(rows, index.config).select("doc_id", reduce(lambda a, b: a + b, counts).alias("n")).where("n > 1")
         found.append(at.select("doc_id", (F.lit(2.0) * F.col("n") * F.col("n")).alias("factor")))
     if not found:
         return hits

@@ -88,10 +88,53 @@ def flatten_columns(df: DataFrame, id_col: str, columns: list[str] | None = None
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.explode(each).alias("x")).select("x.path", "doc_id", "x.pos", "x.value")
 
 
-def element_ids(leafs: DataFrame) -> DataFrame:
-    """(path, value_id, doc_id, pos, value): running number of each leaf within its path, in document order."""
-    order = Window.partitionBy("path").orderBy("doc_id", "pos")
-    return leafs.select("path", (F.row_number().over(order) - 1).cast("long").alias("value_id"), "doc_id", "pos", "value")
+def element_ids(leafs: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """(path, value_id, doc_id, pos, value): running number of each leaf within its path, in document order.
+
+    Numbers run inside blocks of ``span`` document ids; only the blocks' counts are added up along a path.
+    """
+    block = F.floor(F.col("doc_id") / span)
+    rows = leafs.withColumn("block", block)
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).drop("n")
+    inside = Window.partitionBy("path", "block").orderBy("doc_id", "pos")
+    placed = rows.withColumn("at", F.row_number().over(inside) - 1).join(before, ["path", "block"])
+    return placed.select("path", (F.col("before") + F.col("at")).cast("long").alias("value_id"), "doc_id", "pos", "value")
+
+
+def _steps(path: str) -> list[str]:
+    """``a[].b`` as keys and arrays: a, [], b."""
+    return [x for part in path.split(".") for x in (part.rstrip("[]"), *["[]"] * part.count("[]"))]
+
+
+def assemble(rows: list[tuple[str, list[int], str]]) -> object:
+    """A nested document from (path, pos, value); elements that aren't there are skipped, keys come in order of paths."""
+    top: dict = {}
+    for path, pos, value in sorted(rows):
+        node, places = top, iter(pos)
+        steps = [next(places) if s == "[]" else s for s in _steps(path)]
+        for s, after in zip(steps, [*steps[1:], None], strict=True):
+            node = node.setdefault(s, value if after is None else {})
+            if not isinstance(node, dict):
+                break
+
+    def shaped(node: object) -> object:
+        if not isinstance(node, dict):
+            return node
+        return [shaped(node[k]) for k in sorted(node)] if node and all(isinstance(k, int) for k in node) else {str(k): shaped(v) for k, v in node.items()}
+
+    return shaped(top)
+
+
+def rebuild(leafs: DataFrame) -> DataFrame:
+    """(doc_id, doc) from leaves: one group holds the leaves of one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = [json.dumps(assemble([(x["path"], x["pos"], x["value"]) for x in rows]), ensure_ascii=False) for rows in b.column("rows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(docs, pa.string())], ["doc_id", "doc"])
+
+    return leafs.groupBy("doc_id").agg(F.collect_list(F.struct("path", "pos", "value")).alias("rows")).mapInArrow(run, "doc_id long, doc string")
 
 
 def array_prefix(path: str) -> str:

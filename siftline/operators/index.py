@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.errors import FieldNotFound, InvalidConfig
@@ -16,7 +19,8 @@ from . import flatten, tables
 from .config import Config
 
 #: Tables that are written, with the columns they are sorted by inside each path.
-STORED = {"leafs": ["doc_id"], "terms": ["term"], "postings": ["term", "doc_id"], "phrase_pairs": ["t1", "t2"], "token_texts": ["token"], "boosts": ["doc_id"], "token_values": ["term"]}
+STORED = {"leafs": ["doc_id"], "terms": ["term_lc"], "postings": ["term", "doc_id"], "phrase_pairs": ["t1", "t2", "doc_id"], "token_texts": ["token", "h1"], "boosts": ["doc_id"], "token_values": ["term"]}
+BOOST_CACHE, BOOST_CACHE_SECONDS = 10, 3600
 
 
 class Index:
@@ -25,7 +29,7 @@ class Index:
     def __init__(self, spark: SparkSession, leafs: DataFrame, docs: DataFrame | None = None, config: Config | None = None, paths: list[str] | None = None) -> None:
         self.spark, self.leafs, self._docs, self.config, self._paths = spark, leafs, docs, config or Config(), paths
         self.token_values = spark.createDataFrame([], "path string, term string, value double")
-        self.boost_cache: dict[Any, DataFrame] = {}
+        self._boost_terms: dict[Any, tuple[float, DataFrame]] = {}
         self.raw_config: str | None = None
         self.stored = False
 
@@ -74,10 +78,12 @@ class Index:
             raise InvalidConfig("this index was made without documents")
         return self._docs
 
-    def _with(self, feature: str) -> DataFrame:
-        off = [n for n, f in self.config.fields.items() if not f.has(feature)]
-        if not self.config.default.has(feature):
-            return self.leafs.where(F.col("path").isin([n for n, f in self.config.fields.items() if f.has(feature)]))
+    def _with(self, *features: str) -> DataFrame:
+        """Leaves of the fields that have one of the features."""
+        has = lambda f: any(f.has(x) for x in features)
+        off = [n for n, f in self.config.fields.items() if not has(f)]
+        if not has(self.config.default):
+            return self.leafs.where(F.col("path").isin([n for n, f in self.config.fields.items() if has(f)]))
         return self.leafs.where(~F.col("path").isin(off)) if off else self.leafs
 
     @cached_property
@@ -86,7 +92,7 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return tables.postings(self._with("Search"), self.config)
+        return tables.postings(self.search_leafs, self.config, self.terms)
 
     @cached_property
     def phrase_pairs(self) -> DataFrame:
@@ -94,7 +100,7 @@ class Index:
 
     @cached_property
     def token_texts(self) -> DataFrame:
-        return tables.token_texts(self.leafs, self.config)
+        return tables.token_texts(self._with("TokensToTextID", "BoostTextLocality", "Highlight", "BoostingFieldData"), self.config)
 
     @cached_property
     def boosts(self) -> DataFrame:
@@ -105,8 +111,39 @@ class Index:
         return tables.entries(self.leafs, self.config)
 
     @cached_property
-    def search_entries(self) -> DataFrame:
-        return tables.entries(self._with("Search"), self.config)
+    def term_ids(self) -> DataFrame:
+        """(path, term, num_occ, term_id): place of each term in the byte order of its field.
+
+        Terms are numbered among those with the same first two characters; only counts of these are added up.
+        """
+        rows = self.terms.select("path", "term", "num_occ", F.substring("term", 1, 2).alias("head"))
+        counts = rows.groupBy("path", "head").agg(F.count("*").alias("n"))
+        before = counts.select("path", "head", (F.sum("n").over(Window.partitionBy("path").orderBy("head")) - F.col("n")).alias("before"))
+        at = F.row_number().over(Window.partitionBy("path", "head").orderBy("term")) - 1
+        return rows.withColumn("at", at).join(before, ["path", "head"]).select("path", "term", "num_occ", (F.col("before") + F.col("at")).cast("long").alias("term_id"))
+
+    def term_texts(self, path: str, ids: list[int]) -> dict[int, str]:
+        """Texts of term ids."""
+        return {r["term_id"]: r["term"] for r in self.term_ids.where((F.col("path") == path) & F.col("term_id").isin(ids)).collect()}
+
+    @cached_property
+    def search_leafs(self) -> DataFrame:
+        return self._with("Search")
+
+    def boost_term(self, key: Any, make: Callable[[], DataFrame]) -> DataFrame:
+        """Documents of a boost by term, kept by the executors for the next requests: ten of them, an hour at most."""
+        now = time.monotonic()
+        for old, (since, df) in list(self._boost_terms.items()):
+            if now - since > BOOST_CACHE_SECONDS:
+                self._boost_terms.pop(old)
+                df.unpersist()
+        if key in self._boost_terms:
+            self._boost_terms[key] = self._boost_terms.pop(key)  # the last one used is dropped last
+        else:
+            if len(self._boost_terms) >= BOOST_CACHE:
+                self._boost_terms.pop(next(iter(self._boost_terms)))[1].unpersist()
+            self._boost_terms[key] = now, make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._boost_terms[key][1]
 
     # --- metadata -------------------------------------------------------------------------------------------
 
@@ -121,9 +158,15 @@ class Index:
     def info(self) -> FieldInfo:
         return FieldInfo(self.paths, [p for p in self.paths if self.config.of(p).has("Search")])
 
-    def check(self, path: str) -> None:
-        if path not in self.paths:
-            raise FieldNotFound(path, self.paths)
+    def check(self, path: str, *features: str) -> None:
+        """The field exists and has at least one of the features."""
+        if path not in self.paths or (features and not any(self.config.of(path).has(f) for f in features)):
+            raise FieldNotFound(path, [p for p in self.paths if not features or any(self.config.of(p).has(f) for f in features)])
+
+    def selectable(self, wanted: tuple[str, ...]) -> tuple[str, ...]:
+        """Those of the paths, or objects and arrays above paths, that documents can be cut down to; others are left out."""
+        known = [p for p in self.paths if self.config.of(p).has("Select") or self.config.of(p).has("Facets")]
+        return tuple(w for w in wanted if any(p == w or p.startswith((f"{w}.", f"{w}[")) for p in known))
 
     def num_docs(self) -> int:
         return self.docs.count()
@@ -135,6 +178,14 @@ class Index:
         row = self.docs.where(F.col("doc_id") == doc_id).first()
         return row and json.loads(row["doc"])
 
+    def rebuilt(self) -> DataFrame:
+        """(doc_id, doc): documents put together again from the leaves of all fields; every leaf is text."""
+        return flatten.rebuild(self.leafs)
+
+    def get_rebuilt(self, doc_id: int) -> dict[str, Any]:
+        row = flatten.rebuild(self.leafs.where(F.col("doc_id") == doc_id)).first()
+        return json.loads(row["doc"]) if row else {}
+
     def inspect(self, table: str, **keys: Any) -> DataFrame:
         """Rows of one index table, filtered by equality."""
         rows = getattr(self, table)
@@ -145,26 +196,39 @@ class Index:
     # --- storage --------------------------------------------------------------------------------------------
 
     def save(self, path: str) -> None:
-        """Write all tables, each split by field and sorted by term so that row groups prune, and the metadata."""
+        """Write all tables, each split by field and sorted by term so that row groups prune, and the metadata.
+
+        Documents are flattened once: the other tables are made from the leaves and terms as written. Ranges by the
+        whole order split a large field, and the postings of a frequent term, over many files.
+        """
+        made = self
         for name, order in STORED.items():
-            # one shuffle by (path, leading key): a large field spreads over many files, each sorted
-            (getattr(self, name).repartition("path", order[0]).sortWithinPartitions("path", *order).write.partitionBy("path").mode("overwrite").parquet(f"{path}/{name}"))
+            table = getattr(made, name).repartitionByRange("path", *order).sortWithinPartitions("path", *order)
+            table.write.partitionBy("path").mode("overwrite").parquet(f"{path}/{name}")
+            if name == "leafs":
+                made = Index(self.spark, self._read(self.spark, path, name), self._docs, self.config, self.paths)
+                made.token_values = self.token_values
+            elif name == "terms":
+                made.terms = self._read(self.spark, path, name)
         self.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
         meta = {"columns": self.paths, "num_docs": self.num_docs(), "bytes_indexed": self.bytes_indexed(), "config": self.raw_config}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/metadata").collect()))
+    def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
         shapes = {
-            "leafs": flatten.SCHEMA, "terms": "path string, term string, num_occ long", "postings": "path string, term string, doc_id long, score int",
-            "phrase_pairs": "path string, t1 string, t2 string, doc_id long", "token_texts": "path string, token string, value string",
+            "leafs": flatten.SCHEMA, "terms": "path string, term string, term_lc string, num_occ long", "postings": "path string, term string, doc_id long, score int",
+            "phrase_pairs": "path string, t1 string, t2 string, doc_id long", "token_texts": "path string, token string, h1 long, h2 long",
             "boosts": "path string, doc_id long, pos array<int>, boost float", "token_values": "path string, term string, value double",
         }
-        read = lambda name: spark.read.schema(shapes[name]).parquet(f"{path}/{name}")
-        index = Index(spark, read("leafs"), spark.read.parquet(f"{path}/docs"), Config.parse(meta["config"]), meta["columns"])
+        return spark.read.schema(shapes[name]).parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/metadata").collect()))
+        index = Index(spark, Index._read(spark, path, "leafs"), spark.read.parquet(f"{path}/docs"), Config.parse(meta["config"]), meta["columns"])
         index.raw_config, index.stored = meta["config"], True
         for name in STORED:
             if name != "leafs":
-                setattr(index, name, read(name))
+                setattr(index, name, Index._read(spark, path, name))
         return index

@@ -1,4 +1,9 @@
-"""Leaf search: terms of a field's dictionary that fit a search part, with their scores, and the documents they lead to."""
+"""Leaf search: terms of a field's dictionary that fit a search part, with their scores, and the documents they lead to.
+
+A saved index answers from its dictionary: equality and prefixes are pushed to its sorted lower-case column, the few
+terms that fit are fetched first, and the postings scan gets them as a pushed list. Without a saved index the condition
+is applied to the tokens inside each row, before anything is exploded.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,32 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, scoring
 from ..plans.request import Part
+from . import tables
 from .index import Index
 
 MAX_DISTANCE = 4
+#: Up to this many fitting terms of a saved index are listed in the filter of the postings; more are joined.
+MAX_LISTED_TERMS = 1000
 
 
 def allowed_distance(part: Part) -> int:
     return max(0, min(part.levenshtein_distance or 0, len(part.term) - 1, MAX_DISTANCE))
 
 
-def _condition(part: Part, column: Column, term: str, d: int) -> Column:
-    """Does a dictionary key fit? Equality and prefixes reach the scan as pushed filters on the stored table."""
-    fold = part.ignore_case is not False
-    key, wanted = (F.lower(column), term.lower()) if fold else (column, term)
+def _folds(part: Part) -> bool:
+    return part.ignore_case is not False
+
+
+def swaps(part: Part) -> bool:
+    """With an explicit ignore_case swaps of neighbours cost 1."""
+    return part.ignore_case is True and allowed_distance(part) > 0 and not part.is_regex and not part.starts_with
+
+
+def fits(part: Part, column: Column, lower: Column | None = None) -> Column:
+    """Does a dictionary key fit? ``lower`` is its lower-case form where that is stored. Candidates for swaps are wider."""
+    fold, term, d = _folds(part), part.term, allowed_distance(part)
+    key = (F.lower(column) if lower is None else lower) if fold else column
+    wanted = term.lower() if fold else term
     if part.is_regex:
         return F.rlike(column, F.lit(f"{'(?i)' if fold else ''}(?:{term}){'' if part.starts_with else chr(92) + 'z'}"))
     n = len(wanted)
@@ -30,22 +48,41 @@ def _condition(part: Part, column: Column, term: str, d: int) -> Column:
         return (F.length(key) >= n - d) & near
     if d == 0:
         return key == wanted
-    # with an explicit ignore_case swaps of neighbours cost 1, so candidates may be twice as far in plain distance
-    reach = 2 * d if part.ignore_case is True else d
+    reach = 2 * d if swaps(part) else d
     return F.length(key).between(n - d, n + d) & (F.levenshtein(key, F.lit(wanted), reach) >= 0)
 
 
+def _holds(part: Part) -> Column | None:
+    """What a whole value with a fitting token contains, if that can be said without cutting it."""
+    if part.is_regex or allowed_distance(part):
+        return None
+    return F.contains(F.lower("value"), F.lit(part.term.lower()))
+
+
+def fitting_entries(index: Index, part: Part, leafs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return tables.fitting_entries(leafs.where(F.col("path") == part.path), index.config, lambda c: fits(part, c), _holds(part), keep)
+
+
+def _dictionary(index: Index, part: Part) -> DataFrame:
+    """(term, term_lc, num_occ) of the terms that fit."""
+    if not index.stored:
+        return tables.occurrences(fitting_entries(index, part, index.leafs)).drop("path")
+    rows = index.terms.where(F.col("path") == part.path)
+    if not _folds(part) and not part.is_regex and not allowed_distance(part):
+        low = part.term.lower()  # the table is sorted by lower case, so this is what skips its pages
+        rows = rows.where(F.col("term_lc").startswith(low) if part.starts_with else F.col("term_lc") == low)
+    return rows.where(fits(part, F.col("term"), F.col("term_lc"))).select("term", "term_lc", "num_occ")
+
+
 def matched_terms(index: Index, part: Part, limit: bool = True) -> DataFrame:
     """(term, score, num_occ) of the dictionary entries of ``part.path`` that fit."""
     index.check(part.path)
-    term, d = part.term, allowed_distance(part)
-    rows = index.terms.where(F.col("path") == part.path).where(_condition(part, F.col("term"), term, d))
-    key, wanted = F.lower("term"), term.lower()
-    far = distance.distance_to(key, wanted)
-    if part.ignore_case is True and d > 0 and not part.is_regex and not part.starts_with:
-        rows = rows.select("term", "num_occ").withColumn("swapped", distance.with_swaps(F.lower("term"), wanted)).where(F.col("swapped") <= d)
+    rows, wanted = _dictionary(index, part), part.term.lower()
+    far = distance.distance_to(F.col("term_lc"), wanted)
+    if swaps(part):
+        rows = rows.withColumn("swapped", distance.with_swaps(F.col("term_lc"), wanted)).where(F.col("swapped") <= allowed_distance(part))
         far = F.col("swapped")
-    prefix = key.startswith(wanted) if part.starts_with or d > 0 else F.lit(False)
+    prefix = F.col("term_lc").startswith(wanted) if part.starts_with or allowed_distance(part) > 0 else F.lit(False)
     score = scoring.fit_score(far, prefix)
     if part.boost is not None:
         score = score * F.lit(float(part.boost))
@@ -58,32 +95,39 @@ def matched_terms(index: Index, part: Part, limit: bool = True) -> DataFrame:
     return rows
 
 
-def leaf_hits(index: Index, part: Part, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, score): best of the matching terms of the field, each weighted by its score in the document.
+def posted(index: Index, part: Part, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, score, anchor): fitting terms of each document, with their fit and their score in the document.
 
     ``only`` (doc_id) is applied below the aggregate, so documents that the filter excludes are never grouped.
     """
+    found = matched_terms(index, part)
     if index.stored:
-        postings = index.postings.where(F.col("path") == part.path).select("term", "doc_id", F.col("score").alias("anchor"))
+        postings = index.postings.where(F.col("path") == part.path)
+        few = found.limit(MAX_LISTED_TERMS + 1).collect()
+        if len(few) <= MAX_LISTED_TERMS:
+            postings = postings.where(F.col("term").isin([r["term"] for r in few]))
+            found = index.spark.createDataFrame(few, found.schema)
+        postings = postings.select("term", "doc_id", F.col("score").alias("anchor"))
         if only is not None:
             postings = postings.join(only, "doc_id", "left_semi")
-        found = matched_terms(index, part).join(postings, "term")
-    else:
-        found = _posted(index, part, only)
-    return found.select("doc_id", (F.col("score") * F.col("anchor") / F.lit(100.0)).alias("s")).groupBy("doc_id").agg(F.max("s").alias("score"))
-
-
-def _posted(index: Index, part: Part, only: DataFrame | None) -> DataFrame:
-    """(doc_id, score, anchor) without a stored table: only entries of matching terms are scored and grouped."""
-    rows = index.search_entries.where(F.col("path") == part.path).select("term", "doc_id", "at", "n_tokens", "exact")
+        return postings.join(found, "term").select("doc_id", "term", "score", "anchor")
+    rows = fitting_entries(index, part, index.search_leafs).select("term", "doc_id", "at", "n_tokens", "exact")
     if only is not None:
         rows = rows.join(only, "doc_id", "left_semi")
-    scored = rows.join(matched_terms(index, part), "term").withColumn("s", scoring.anchor_score(F.col("at"), F.col("num_occ"), F.col("n_tokens"), F.col("exact")))
+    scored = rows.join(found, "term").withColumn("s", scoring.anchor_score(F.col("at"), F.col("num_occ"), F.col("n_tokens"), F.col("exact")))
     best = scored.groupBy("doc_id", "term").agg(F.max("s").alias("best"), F.count("*").alias("n"), F.first("score").alias("score"))
-    return best.select("doc_id", "score", scoring.merged_score(F.col("best"), F.col("n")).alias("anchor"))
+    return best.select("doc_id", "term", "score", scoring.merged_score(F.col("best"), F.col("n")).alias("anchor"))
+
+
+def leaf_hits(index: Index, part: Part, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score): best of the matching terms of the field, each weighted by its score in the document."""
+    found = posted(index, part, only)
+    return found.select("doc_id", (F.col("score") * F.col("anchor") / F.lit(100.0)).alias("s")).groupBy("doc_id").agg(F.max("s").alias("score"))
 
 
 def whole_value_docs(index: Index, part: Part) -> DataFrame:
     """(doc_id): documents with a whole value that fits; filters and boosts by term work on whole values."""
-    values = index.leafs.where(F.col("path") == part.path).select(F.col("value").alias("term"), "doc_id")
+    index.check(part.path)
+    values = index.leafs.where(F.col("path") == part.path).select(F.col("value").alias("term"), "doc_id").where(fits(part, F.col("term")))
+    # a value is in the dictionary if it isn't too long for it, or as a token of its own
     return values.join(matched_terms(index, part, limit=False).select("term"), "term", "left_semi").select("doc_id").distinct()

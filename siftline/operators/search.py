@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.highlight import highlight_text
@@ -20,7 +21,7 @@ from ..plans.request import Facet, Node, Part, Request, SearchParams, SnippetInf
 from . import combine
 from .flatten import leaf_text, leaves
 from .index import Index
-from .match import allowed_distance, matched_terms
+from .match import allowed_distance, fitting_entries, matched_terms, posted
 
 DEFAULT_TOP = 10
 
@@ -50,14 +51,17 @@ def page(found: DataFrame, top: int | None = None, skip: int | None = None) -> D
 def facet_counts(index: Index, found: DataFrame, facets: tuple[Facet, ...]) -> DataFrame:
     """(field, value, count): occurrences of each value among all documents found, most frequent first."""
     for f in facets:
-        index.check(f.field)
-    out = []
-    for f in facets:
-        values = index.leafs.where(F.col("path") == f.field).select("doc_id", "value").join(found.select("doc_id"), "doc_id", "left_semi")
-        counted = values.groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value")
-        counted = counted if f.top is None else counted.limit(f.top)
-        out.append(counted.select(F.lit(f.field).alias("field"), "value", "count"))
-    return reduce(DataFrame.unionByName, out)
+        index.check(f.field, "Facets", "Select")
+    # one search and one scan for all fields; ranks are cut before they are shuffled
+    values = index.leafs.where(F.col("path").isin([f.field for f in facets])).select("path", "doc_id", "value").join(found.select("doc_id"), "doc_id", "left_semi")
+    counted = values.groupBy("path", "value").agg(F.count("*").alias("count"))
+    most = max((f.top for f in facets if f.top is not None), default=0)
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("count"), "value"))
+    if any(f.top is None for f in facets):
+        most = 2**31 - 1
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= most)
+    within = reduce(lambda a, b: a | b, [(F.col("path") == f.field) & (F.lit(True) if f.top is None else F.col("rank") <= f.top) for f in facets], F.lit(False))
+    return ranked.where(within).select(F.col("path").alias("field"), "value", "count")
 
 
 def suggest(index: Index, request: Request) -> DataFrame:
@@ -76,16 +80,24 @@ def suggest_text(index: Index, text: str, **options: Any) -> DataFrame:
 
 
 def highlight(index: Index, part: Part) -> DataFrame:
-    """(text, snippet, score): texts of a field with what was found in them, best first."""
-    part = replace(part, terms=(normalize_text(part.term),), top=None)
-    settings = index.config.of(part.path)
-    words = matched_terms(index, part)
-    texts = index.token_texts.where(F.col("path") == part.path).select(F.col("token").alias("term"), "value")
-    whole = index.leafs.where(F.col("path") == part.path).select(F.col("value").alias("term"), "value")
-    found = texts.union(whole).distinct().join(words, "term").groupBy("value").agg(F.max("score").alias("score"), F.collect_set("term").alias("found"))
-    cut, info = found.orderBy(F.desc("score"), "value").limit(DEFAULT_TOP), part.snippet_info or SnippetInfo()
-    make = F.udf(lambda text, terms: highlight_text(text, set(terms), info, settings.tokenize_on_chars, settings.tokenize), "string")
-    return cut.select(F.col("value").alias("text"), make("value", "found").alias("snippet"), "score").where("snippet is not null")
+    """(text, snippet, score): texts of a field with what was found in them, best first; ``skip`` and ``top`` (10) of
+    the part. With its option ``explain`` a column of that name tells the score that the tokens found gave the text."""
+    part = replace(part, terms=(normalize_text(part.term),))
+    index.check(part.path, "Highlight", "WhyFound", "Select")
+    settings, info = index.config.of(part.path), part.snippet_info or SnippetInfo()
+    entries = fitting_entries(index, part, index.leafs, ("value",)).select("term", "value")
+    found = entries.join(matched_terms(index, part), "term").groupBy("value").agg(F.max("score").alias("score"), F.collect_set("term").alias("found"))
+    cut = found.orderBy(F.desc("score"), "value")
+    cut = (cut.offset(part.skip) if part.skip else cut).limit(DEFAULT_TOP if part.top is None else part.top)
+
+    @F.pandas_udf("string")
+    def make(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([highlight_text(t, set(f), info, settings.tokenize_on_chars, settings.tokenize) for t, f in zip(texts, found, strict=True)], dtype=object)
+
+    out = cut.select(F.col("value").alias("text"), make("value", "found").alias("snippet"), "score").where("snippet is not null")
+    if part.options is not None and part.options.explain:
+        out = out.withColumn("explain", F.array(F.struct(F.lit("MaxTokenToTextId").alias("kind"), F.col("score").alias("value"))))
+    return out
 
 
 def select_fields(document: Any, wanted: tuple[str, ...]) -> Any:
@@ -113,7 +125,8 @@ def _found_terms(index: Index, node: Node) -> DataFrame:
 
 def documents(index: Index, request: Request, found: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, doc, why_found): one page of documents. ``doc`` is JSON, cut down to ``select`` if given;
-    ``why_found`` maps fields to snippets when asked for. Only the rows of the page are looked at."""
+    ``why_found`` maps fields to snippets when asked for, and a column ``explain`` is added when that is asked for.
+    Only the rows of the page are looked at."""
     top = page(hits(index, request) if found is None else found, request.top, request.skip)
     rows = index.docs.join(F.broadcast(top), "doc_id").select("doc_id", "score", "doc")  # a page: top rows at most
     wanted = None
@@ -123,7 +136,7 @@ def documents(index: Index, request: Request, found: DataFrame | None = None) ->
         wanted = True
     else:
         rows = rows.withColumn("found", F.lit(None).cast("map<string,array<string>>"))
-    select, config = request.select, index.config
+    select, config = None if request.select is None else index.selectable(request.select), index.config
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +155,18 @@ def documents(index: Index, request: Request, found: DataFrame | None = None) ->
             kind = pa.map_(pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("score"), pa.array(docs, pa.string()), pa.array(why, kind)], ["doc_id", "score", "doc", "why_found"])
 
-    return rows.mapInArrow(make, "doc_id long, score double, doc string, why_found map<string,array<string>>").orderBy(F.desc("score"), F.desc("doc_id"))
+    out = rows.mapInArrow(make, "doc_id long, score double, doc string, why_found map<string,array<string>>")
+    if explained(request):
+        steps = explain(index, request).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "path", "term", "value"))).alias("explain"))
+        out = out.join(F.broadcast(steps), "doc_id", "left")  # steps of a page
+    return out.orderBy(F.desc("score"), F.desc("doc_id"))
+
+
+def explained(request: Request) -> bool:
+    """The request or one of its parts asks for an explanation."""
+    node = request.search_req
+    asked = [p.options for p in parts(node)] if node is not None else []
+    return request.explain or any(o is not None and o.explain for o in asked)
 
 
 def explain(index: Index, request: Request) -> DataFrame:
@@ -156,8 +180,7 @@ def explain(index: Index, request: Request) -> DataFrame:
     top = page(hits(index, request), request.top, request.skip).select("doc_id", F.col("score").alias("final"))
     steps = []
     for p in dict.fromkeys(parts(request.search_req)):
-        posted = index.postings.where(F.col("path") == p.path).select("term", "doc_id", F.col("score").alias("anchor")).join(F.broadcast(top), "doc_id", "left_semi")
-        found = matched_terms(index, p).join(posted, "term").select("doc_id", F.lit(p.path).alias("path"), "term", "score", "anchor")
+        found = posted(index, p, F.broadcast(top.select("doc_id"))).select("doc_id", F.lit(p.path).alias("path"), "term", "score", "anchor")
         steps.append(found.select("doc_id", F.lit("LevenshteinScore").alias("kind"), "path", "term", F.col("score").alias("value")))
         steps.append(found.select("doc_id", F.lit("TermToAnchor").alias("kind"), "path", "term", (F.col("score") * F.col("anchor") / 100.0).alias("value")))
     tree = combine.scored(index, request.search_req, top.select("doc_id"))
@@ -240,6 +263,8 @@ def search(index: Index, request: Request | SearchParams | str | dict[str, Any])
         request = generator.search_request(index.info, request)
     if not isinstance(request, Request):
         request = from_json(request)
+    if request.search_req is None and request.suggest is None:
+        raise InvalidRequest("a request needs search_req or suggest")
     if request.search_req is not None:
         request = replace(request, search_req=simplify(request.search_req))
     if request.filter is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,34 +41,59 @@ def _fits(config: Config) -> Column:
 
 
 def entries(leafs: DataFrame, config: Config) -> DataFrame:
-    """(path, doc_id, pos, term, at, n_tokens, times, exact): each value as a whole, and each distinct token of it."""
+    """(path, doc_id, pos, term, at, n_tokens, times, exact): each value as a whole, and each distinct token of it.
+
+    Tokens of a value lie in one partition, so the partial aggregate leaves each distinct one once before the shuffle.
+    """
     cut = with_tokens(leafs, config)
-    whole = F.struct(F.col("value").alias("term"), F.lit(0).alias("at"), F.lit(1).alias("n_tokens"), F.lit(1).alias("times"), F.lit(True).alias("exact"))
-    kinds = "array<struct<term:string,at:int,n_tokens:int,times:int,exact:boolean>>"
-    first = F.when(_fits(config), F.array(whole).cast(kinds)).otherwise(F.array().cast(kinds))
-    # distinct tokens with first place, inside the row: sorted by (token, place) the first of each token is kept
-    cut = cut.withColumn("sorted", F.expr("array_sort(transform(tokens, (t, i) -> struct(t as t, i as i)))"))
-    rest = F.expr(
-        "transform(filter(sorted, (x, i) -> i = 0 or element_at(sorted, i).t != x.t),"
-        " x -> struct(x.t as term, x.i as at, size(tokens) as n_tokens, 1 as times, false as exact))"
-    ).cast(kinds)
-    return cut.select("path", "doc_id", "pos", F.explode(F.concat(first, rest)).alias("e")).select("path", "doc_id", "pos", "e.*")
+    whole = cut.where(_fits(config)).select("path", "doc_id", "pos", F.col("value").alias("term"), F.lit(0).alias("at"), F.lit(1).alias("n_tokens"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("exact"))
+    each = cut.select("path", "doc_id", "pos", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("at", "term"))
+    rest = each.groupBy("path", "doc_id", "pos", "term").agg(F.min("at").alias("at"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("times"))
+    return whole.unionByName(rest.withColumn("exact", F.lit(False)))
+
+
+Fits = Callable[[Column], Column]
+
+
+def fitting_entries(leafs: DataFrame, config: Config, fits: Fits, holds: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for one path and the terms that ``fits`` accepts only, found inside each row before it is exploded.
+
+    ``holds`` is a cheap condition on ``value`` that every value with a fitting term meets, ``keep`` names columns to
+    carry along.
+    """
+    cut = with_tokens(leafs if holds is None else leafs.where(holds), config)
+    kinds = "array<struct<term:string,at:int,n_tokens:int,times:bigint,exact:boolean>>"
+    whole = F.struct(F.col("value").alias("term"), F.lit(0).alias("at"), F.lit(1).alias("n_tokens"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("exact"))
+    first = F.when(_fits(config) & fits(F.col("value")), F.array(whole).cast(kinds)).otherwise(F.array().cast(kinds))
+    cut = cut.select("path", "doc_id", "pos", *keep, "tokens", first.alias("first"), F.filter("tokens", fits).alias("hits"))
+    one = lambda t: F.struct(
+        t.alias("term"), (F.array_position("tokens", t) - 1).cast("int").alias("at"), F.size("tokens").alias("n_tokens"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("times"), F.lit(False).alias("exact")
+    )
+    rest = F.transform(F.array_distinct("hits"), one).cast(kinds)
+    return cut.select("path", "doc_id", "pos", *keep, F.explode(F.concat("first", rest)).alias("e")).select("path", "doc_id", "pos", *keep, "e.*")
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """(path, term, term_lc, num_occ) of rows of :func:`entries`."""
+    return found.groupBy("path", "term").agg(F.sum("times").alias("num_occ")).select("path", "term", F.lower("term").alias("term_lc"), "num_occ")
 
 
 def terms(leafs: DataFrame, config: Config) -> DataFrame:
-    """(path, term, num_occ): occurrences of whole values up to the length limit and of every token, separators too."""
+    """(path, term, term_lc, num_occ): occurrences of whole values up to the length limit and of every token, separators too."""
     cut = with_tokens(leafs, config)
     each = F.concat(F.when(_fits(config), F.array("value")).otherwise(F.array().cast("array<string>")), F.col("tokens"))
-    return cut.select("path", F.explode(each).alias("term")).groupBy("path", "term").agg(F.count("*").alias("num_occ"))
+    counted = cut.select("path", F.explode(each).alias("term")).groupBy("path", "term").agg(F.count("*").alias("num_occ"))
+    return counted.select("path", "term", F.lower("term").alias("term_lc"), "num_occ")
 
 
-def postings(leafs: DataFrame, config: Config) -> DataFrame:
+def postings(leafs: DataFrame, config: Config, known: DataFrame | None = None) -> DataFrame:
     """(path, term, doc_id, score): one scored entry for each term of a document's field.
 
-    Occurrences are summed per (path, term) and joined back on the same key, so both sides share one partitioning and
+    Occurrences (``known``, or counted here) are joined back by (path, term), so both sides share one partitioning and
     a frequent term is split by adaptive skew handling instead of filling one window.
     """
-    scored = entries(leafs, config).join(terms(leafs, config), ["path", "term"])
+    known = terms(leafs, config) if known is None else known
+    scored = entries(leafs, config).join(known.select("path", "term", "num_occ"), ["path", "term"])
     score = scoring.anchor_score(F.col("at"), F.col("num_occ"), F.col("n_tokens"), F.col("exact"))
     return (
         scored.select("path", "term", "doc_id", score.alias("s"))
@@ -86,9 +112,15 @@ def phrase_pairs(leafs: DataFrame, config: Config) -> DataFrame:
     return words.select("path", F.explode(F.array_distinct(pairs)).alias("p"), "doc_id").select("path", "p.t1", "p.t2", "doc_id").distinct()
 
 
+def text_id(value: str = "value") -> list[Column]:
+    """Two 64-bit hashes that stand for a whole text."""
+    return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")]
+
+
 def token_texts(leafs: DataFrame, config: Config) -> DataFrame:
-    """(path, token, value): which whole texts hold a token."""
-    return with_tokens(leafs, config).select("path", F.explode("tokens").alias("token"), "value").distinct()
+    """(path, token, h1, h2): which texts hold a token, by the ids of the texts."""
+    cut = with_tokens(leafs, config).select("path", *text_id(), F.array_distinct("tokens").alias("tokens"))
+    return cut.select("path", F.explode("tokens").alias("token"), "h1", "h2").distinct()
 
 
 def boosts(leafs: DataFrame, config: Config) -> DataFrame:

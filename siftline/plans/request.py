@@ -118,12 +118,12 @@ def _known(kind: type, raw: Mapping[str, Any], **made: Any) -> Any:
         raise InvalidRequest(str(e)) from e
 
 
-def _boosts(raw: Any) -> tuple[Boost, ...] | None:
+def boosts_from_json(raw: Any) -> tuple[Boost, ...] | None:
     return None if raw is None else tuple(_known(Boost, x) for x in (raw if isinstance(raw, list) else [raw]))
 
 
 def _options(raw: Any) -> Options | None:
-    return _known(Options, raw, boost=_boosts(raw.get("boost"))) if raw else None
+    return _known(Options, raw, boost=boosts_from_json(raw.get("boost"))) if raw else None
 
 
 def part_from_json(raw: Mapping[str, Any]) -> Part:
@@ -153,12 +153,14 @@ def from_json(raw: str | Mapping[str, Any]) -> Request:
             raise InvalidRequest(f"not JSON: {e}") from e
     parts = lambda name: tuple(part_from_json(x) for x in raw[name]) if raw.get(name) is not None else None
     phrases = raw.get("phrase_boosts")
+    # a bare tree is a request of its own
+    tree = raw.get("search_req") or (raw if any(k in raw for k in ("search", "or", "and")) else None)
     return _known(
         Request,
         raw,
-        search_req=node_from_json(raw["search_req"]) if raw.get("search_req") else None,
+        search_req=node_from_json(tree) if tree else None,
         suggest=parts("suggest"),
-        boost=_boosts(raw.get("boost")),
+        boost=boosts_from_json(raw.get("boost")),
         boost_term=parts("boost_term"),
         facets=tuple(_known(Facet, x) for x in raw["facets"]) if raw.get("facets") else None,
         phrase_boosts=tuple(PhraseBoost(part_from_json(x["search1"]), part_from_json(x["search2"])) for x in phrases) if phrases else None,

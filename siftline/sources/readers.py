@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,15 +17,12 @@ def from_lines(spark: SparkSession, lines: str | Iterable[str]) -> DataFrame:
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Dense ids in file order: counts per file partition are added up, only these go to the driver."""
+    """Dense ids in file order: counts per file partition are added up, and these few rows are broadcast."""
     tagged = lines.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    counts = {r["part"]: (r["n"], r["low"]) for r in tagged.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low")).collect()}
-    start, offsets = 0, []
-    for part in sorted(counts):
-        offsets.append((part, start - counts[part][1]))
-        start += counts[part][0]
-    moved = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[F.col("part")] if offsets else F.lit(0)
-    return tagged.select((F.col("at") + moved).cast("long").alias("doc_id"), "doc")
+    counts = tagged.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    # one row for each partition of files
+    moved = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("low")).alias("by"))
+    return tagged.join(F.broadcast(moved), "part").select((F.col("at") + F.col("by")).cast("long").alias("doc_id"), "doc")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,8 +44,14 @@ def split_json(text: str) -> Iterator[str]:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of files that each hold a JSON array, or objects one after the other, over several lines."""
-    split = F.udf(lambda text: list(split_json(text)), "array<string>")
+    """Documents of files that each hold a JSON array, or objects one after the other, over several lines.
+
+    A file is one value: such arrays can't be split. Large data comes as lines.
+    """
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: list(split_json(text)))
+
     whole = spark.read.option("wholetext", True).text(path)
     return _numbered(whole.select(F.explode(split("value")).alias("doc")))
 
