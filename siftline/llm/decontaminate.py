@@ -6,8 +6,9 @@ contaminated by an item if some window of the item's length holds at least ``THR
 1. Documents are scanned once; only shingles that occur in the benchmark leave the scan (``hits``).
 2. Each item's shingles are ordered by rarity, that is by how many documents hold them, over all documents. An item
    of s shingles that needs r of them shares one of its s - r + 1 rarest with every document that matches, so only
-   those prefix tokens are joined. Bounds: the document has r shingles at least (length), and from the matched
-   token's place in the order r are still to come (position).
+   those prefix tokens are joined. Bounds: the document has r shingles at least (length), and after the first token
+   that both share r - 1 more are to come in the item and among the document's own hits, both in order of rarity
+   (position).
 3. Candidates are verified exactly by sliding a window of the item's length over the hits.
 
 Defined cases: null or word-free texts neither match nor are matched; a null doc_id takes part and is returned as
@@ -19,7 +20,6 @@ empty result. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -131,17 +131,20 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
         .withColumn("need", F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * threshold, 9)).cast("int")))
     )
     prefix = ranked.where("rank <= size - need")
+    mine = Window.partitionBy("k").orderBy("df", "h")
+    own = hits.select("k", "h", "n").distinct().join(spread, "h")
+    own = own.withColumn("place", F.row_number().over(mine) - 1).withColumn("held", F.count("*").over(Window.partitionBy("k")))
+    # all that a document and an item share comes from their first common token on, and that lies in the prefix
+    first = F.min(F.struct("rank", "place")).alias("first")
     candidates = (
-        hits.join(prefix.select("h", "item", "item_id", "rank", "size", "need", "length", "width"), "h")
-        .where("n - width + 1 >= need and size - rank >= need")
+        own.join(prefix.select("h", "item", "item_id", "rank", "size", "need", "length", "width"), "h")
+        .where("n - width + 1 >= need")
+        .groupBy("k", "item", "item_id", "size", "need", "length", "held")
+        .agg(first)
+        .where("1 + least(size - first.rank - 1, held - first.place - 1) >= need")
         .select("k", "item", "item_id", "size", "need", "length")
-        .distinct()
     )
     matched = hits.join(candidates, "k").join(grams.select("item", "h"), ["item", "h"])
     whole = matched.groupBy("k", "doc_id", "item", "item_id", "size", "need", "length").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hits"))
     found = whole.mapInArrow(_best_window, "k long, doc_id long, item long, item_id long, size long, need int, most int, at int")
     return found.where("most >= need").select("k", "doc_id", "item_id", F.round(F.col("most") / F.col("size"), 6).alias("containment"), "at")
-
-
-def required(size: int, threshold: float = THRESHOLD) -> int:
-    return max(1, ceil(round(size * threshold, 9)))

@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-Features are character 1- to 3-grams of the lower-cased text, hashed to ``DIMS`` buckets, weighted by log-damped
+Features are 1- to 4-grams of bytes of the lower-cased text, hashed to ``DIMS`` buckets, weighted by log-damped
 term frequency and inverse document frequency, and scaled to length one. Each language has ``CENTROIDS`` centroids
 from spherical k-means. A text takes the language of the nearest centroid by cosine; if the cosine distance is above
 that language's rejection radius for texts of this size it becomes ``und``. Radii come from held-out distances, with

@@ -174,20 +174,24 @@ def deletions(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> Data
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated blocks removed from ``text``, and a column ``lines_removed`` (replaced where there is one)."""
-    docs = docs.drop("lines_removed")
+    return _deduped(docs.drop("lines_removed"), "lines_removed", rare, least)
+
+
+def _deduped(docs: DataFrame, count: str, rare: int, least: int) -> DataFrame:
     key, cut = free_name(docs, "__row_key"), free_name(docs, "__gone")
     found = deletions(docs, rare, least).withColumnRenamed("k", key).withColumnRenamed("gone", cut)
     kept = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not array_contains({cut}, i)), '\\n')")
     # a row without deletions keeps a null list, so its text passes through as it is
     joined = docs.withColumn(key, row_key()).join(found, key, "left")
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("text", text).select(*docs.columns, F.coalesce(F.size(cut), F.lit(0)).alias("lines_removed"))
+    return joined.withColumn("text", text).select(*docs.columns, F.coalesce(F.size(cut), F.lit(0)).alias(count))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` after line dedup; ``n_chars`` follows the text, documents left with no words go."""
-    out = dedup_lines(docs)
-    out = out.where("lines_removed = 0 or trim(text) != ''")
+    count = free_name(docs, "lines_removed")
+    out = _deduped(docs, count, RARE, MIN_WORDS)
+    out = out.where((F.col(count) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

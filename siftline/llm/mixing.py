@@ -21,6 +21,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import row_key
 from .scratch import materialise
 
 MAX_REPEATS = 4
@@ -120,21 +121,23 @@ def solve(supply: list[float], members: list[tuple[int, ...]], quota: list[float
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens, members): one row per distinct text."""
+    """(h, g, doc_id, k, tokens, members): one row per distinct text."""
     rows = docs.where("doc_id is not null and source is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("tokens"),
-        F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.length("text").alias("n"),
+        F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), row_key().alias("k"),
     )
     rows = rows.where("tokens > 0")
-    return rows.groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("members"))
+    # each pair of text and source once, then a set that is no larger than the number of sources
+    rows = rows.groupBy("h", "g", "source").agg(F.min("doc_id").alias("doc_id"), F.min_by("k", "doc_id").alias("k"), F.max("tokens").alias("tokens"))
+    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.min_by("k", "doc_id").alias("k"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_list("source")).alias("members"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 0, repeats: int = MAX_REPEATS) -> DataFrame:
-    """(doc_id, source, uses, tokens): chosen documents, the source each is spent for, how often.
+    """(doc_id, k, source, uses, tokens): chosen documents, the source each is spent for, how often.
 
     ``budget`` is the number of tokens wanted in all; by default that of the distinct texts.
     """
-    units = _units(docs).select("doc_id", "tokens", "members", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("h")).alias("u"))
+    units = _units(docs).select("doc_id", "k", "tokens", "members", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("h")).alias("u"))
     units = materialise(units.withColumn("bucket", F.shiftrightunsigned("u", 52).cast("int")), "units")
     # tokens of each pattern by bucket of the seeded hash: bounded by patterns x BUCKETS
     table = units.groupBy("members").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
@@ -160,7 +163,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = No
     placed = units.withColumn("earlier", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offsets, ["members", "bucket"]).withColumn("place", (F.col("before") + F.col("earlier")).cast("double"))
     # in pass j of the pattern the text stands at place + j * supply: it is used for the interval that holds this point
     hits = placed.join(F.broadcast(plan_df), "members").withColumn("uses", _points_inside())
-    return hits.where("uses > 0").select("doc_id", "source", F.col("uses").cast("int").alias("uses"), "tokens")
+    return hits.where("uses > 0").select("doc_id", "k", "source", F.col("uses").cast("int").alias("uses"), "tokens")
 
 
 def _points_inside():

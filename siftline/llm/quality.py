@@ -13,12 +13,18 @@ not read.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as tx
 from .rows import row_key
 from .scratch import materialise
 
@@ -39,8 +45,8 @@ def _vote(good: Column, bad: Column, votes: Column | None = None) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes as columns over the struct ``f`` that :func:`features` makes."""
-    f = lambda name: F.col(f"f.{name}")
+    """Votes as columns over what :func:`features` counts."""
+    f = F.col
     words, chars, lines = f("words"), f("chars"), f("lines")
     symbols, upper, alpha = _share(f("symbols"), words), _share(f("upper"), f("letters")), _share(f("alpha_words"), words)
     mean, closed, stop = _share(f("letters"), words), _share(f("closed"), lines), _share(f("stops"), words)
@@ -59,24 +65,113 @@ def rules() -> dict[str, Column]:
     }
 
 
-def features(text: Column) -> Column:
-    """Counts over a whole text, as one struct."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    tokens, lines = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
-    return F.struct(
-        F.length(text).alias("chars"),
-        F.size(tokens).alias("words"),
-        F.size(F.array_distinct(tokens)).alias("kinds"),
-        F.size(F.filter(tokens, lambda x: F.rtrim(x, F.lit(".,")).isin(STOP))).alias("stops"),
-        F.size(lines).alias("lines"),
-        F.size(F.array_distinct(lines)).alias("line_kinds"),
-        count(r"[.!?:;\"”…][ \t]*(?:\n|$)").alias("closed"),
-        count(r"[#$%&*|@^~<>=+\\{}\[\]_]+").alias("symbols"),
-        count(r"!+").alias("bangs"),
-        count(r"\p{L}").alias("letters"),
-        count(r"\p{Lu}").alias("upper"),
-        count(r"(?<!\S)[\p{L}'’\-]+[.,;:!?]?(?!\S)").alias("alpha_words"),
-    )
+FEATURES = ("chars", "words", "kinds", "stops", "lines", "line_kinds", "closed", "symbols", "bangs", "letters", "upper", "alpha_words")
+_LETTER, _UPPER, _SPACE, _SYMBOL, _BANG, _CLOSER, _TAIL, _IN_WORD = (1 << n for n in range(8))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: kinds of character as bits, its lower-case form, and a number for hashing."""
+    kinds = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for c in range(sys.maxunicode + 1):
+        category = unicodedata.category(chr(c))
+        if category[0] == "L":
+            kinds[c] = _LETTER | _IN_WORD | (_UPPER if category == "Lu" else 0)
+            low = chr(c).lower()
+            lower[c] = ord(low) if len(low) == 1 else c
+    for bit, chars in ((_SPACE, " \t\n\x0b\f\r"), (_SYMBOL, "#$%&*|@^~<>=+\\{}[]_"), (_BANG, "!"), (_CLOSER, ".!?:;\"”…"), (_TAIL, ".,;:!?"), (_IN_WORD, "'’-")):
+        for c in chars:
+            kinds[ord(c)] |= bit
+    return kinds, lower, tx.mix(np.arange(sys.maxunicode + 1, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    up, _ = tx.powers(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_tables()[2][codes] * up[: len(codes)], out=out[1:])
+    return out
+
+
+def _distinct(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """Number of distinct hashes of each of at most 60,000 rows, by 48 bits of them."""
+    pairs = np.sort((row.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    new = np.ones(len(pairs), dtype=bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    return np.bincount((pairs[new] >> np.uint64(48)).astype(np.int64), minlength=rows)
+
+
+def features(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts over whole texts, given as UTF-8 bytes and offsets of rows.
+
+    A word is a run without white space, compared in lower case; a stop word may end in full stops and commas. A line
+    ends at a newline and is blank without anything but blanks. A line is closed if its last sign besides blanks and
+    tabs closes a sentence. An alphabetic word holds letters, apostrophes and hyphens, and one sign after them at most.
+    """
+    kinds, lower, _ = _tables()
+    rows, n_bytes = len(off) - 1, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    if len(codes) != n_bytes[-1]:
+        raise ValueError("texts are not valid UTF-8")
+    at, n = n_bytes[off], len(codes)
+    row = np.repeat(np.arange(rows), np.diff(at))
+    kind = kinds[codes]
+    first = np.zeros(n + 1, dtype=bool)
+    first[at] = True
+    count = lambda where: np.bincount(row[where], minlength=rows)
+
+    def runs(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of runs of true values inside rows."""
+        on = np.zeros(n + 2, dtype=bool)
+        on[1:-1] = where
+        return np.flatnonzero(on[1:-1] & (~on[:-2] | first[:-1])), np.flatnonzero(on[1:-1] & (~on[2:] | first[1:])) + 1
+
+    start, end = runs((kind & _SPACE) == 0)
+    place = np.arange(n)
+    low = _sums(lower[codes])
+    words = row[start]
+    # the last sign of a word that is no full stop or comma
+    full = np.maximum.accumulate(np.where((codes == 46) | (codes == 44), -1, place)) if n else place
+    bare = np.maximum(full[end - 1] + 1, start)
+    short = (bare - start > 0) & (bare - start <= max(map(len, STOP)))
+    stop = np.isin(tx.span_hashes(low, start[short], bare[short]), _stop_hashes())
+    wrong = np.concatenate([[0], np.cumsum((kind & _IN_WORD) == 0)])
+    tail = end - ((kind[end - 1] & _TAIL) != 0)
+    alphabetic = (tail > start) & (wrong[tail] == wrong[start])
+    # lines: cut at newlines and rows; the newline belongs to none
+    breaks = np.flatnonzero(codes == 10)
+    line_start = np.sort(np.concatenate([breaks + 1, at[:-1]]))
+    line_end = np.sort(np.concatenate([breaks, at[1:]]))
+    solid = np.concatenate([[0], np.cumsum((codes != 32) & (codes != 10))])
+    said = solid[line_end] > solid[line_start]
+    line_start, line_end = line_start[said], line_end[said]
+    seen = np.maximum.accumulate(np.where((codes == 32) | (codes == 9) | (codes == 10), -1, place)) if n else place
+    last = seen[line_end - 1]
+    closed = (last >= line_start) & ((kind[last] & _CLOSER) != 0)
+    lines = row[line_start]
+    return {
+        "chars": np.diff(at), "words": np.bincount(words, minlength=rows), "kinds": _distinct(words, tx.span_hashes(low, start, end), rows), "stops": np.bincount(words[short][stop], minlength=rows),
+        "lines": np.bincount(lines, minlength=rows), "line_kinds": _distinct(lines, tx.span_hashes(_sums(codes), line_start, line_end), rows), "closed": np.bincount(lines[closed], minlength=rows),
+        "symbols": np.bincount(row[runs((kind & _SYMBOL) != 0)[0]], minlength=rows), "bangs": np.bincount(row[runs((kind & _BANG) != 0)[0]], minlength=rows),
+        "letters": count((kind & _LETTER) != 0), "upper": count((kind & _UPPER) != 0), "alpha_words": np.bincount(words[alphabetic], minlength=rows),
+    }
+
+
+@cache
+def _stop_hashes() -> np.ndarray:
+    out = []
+    for w in STOP:
+        codes = np.array([ord(c) for c in w], dtype=np.uint32)
+        out.append(tx.span_hashes(_sums(codes), np.array([0]), np.array([len(codes)]))[0])
+    return np.array(out, dtype=np.uint64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi, data, off in tx.chunks(b, "text", lower=False):
+            f = features(data, off)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in ("k", "doc_id")], *[pa.array(f[x].astype(np.int32)) for x in FEATURES]], ["k", "doc_id", *FEATURES])
 
 
 @dataclass
@@ -113,10 +208,9 @@ def vote_table(docs: DataFrame) -> DataFrame:
     """(k, doc_id, votes): one digit 0, 1 or 2 per rule (vote + 1); null votes for texts without content."""
     text = F.col("text").cast("string")
     judged = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    judged = judged.select("k", "doc_id", F.when(F.trim(F.regexp_replace("text", r"\s+", " ")) != "", features(F.col("text"))).alias("f"))
-    # the struct is computed once in a projection of its own; the votes then read its fields
+    counted = judged.mapInArrow(_counted, "k long, doc_id long, " + ", ".join(f"{x} int" for x in FEATURES))
     code = F.concat(*[(v + 1).cast("string") for v in rules().values()])
-    return judged.select("k", "doc_id", F.when(F.col("f").isNotNull(), code).alias("votes"))
+    return counted.select("k", "doc_id", F.when(F.col("words") > 0, code).alias("votes"))
 
 
 def _patterns(table: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:

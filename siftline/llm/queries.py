@@ -56,7 +56,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), stages.TARGETS)
+    return mixing.mix(_table(spark, sf_dir, "documents"), stages.TARGETS).drop("k")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Key sets up to this many 64-bit values (16 MB or so on the wire) are broadcast; larger ones are shuffled.
+#: Up to this many ids with keys (16 bytes each) are broadcast; larger sets are shuffled.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
@@ -23,9 +23,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, gone: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """``docs`` without the rows whose key is among ``gone`` (column ``k``, already materialised); columns unchanged."""
-    keys = gone.select("k").distinct()
+    """``docs`` without the rows whose id and key are among ``gone`` (``doc_id``, ``k``, already materialised); columns unchanged."""
+    keys = gone.select(F.col("k").alias("gone_key"), F.col("doc_id").cast("long").alias("gone_id")).distinct()
     if keys.limit(limit + 1).count() <= limit:
         keys = F.broadcast(keys)
     name = free_name(docs, "__row_key")
-    return docs.withColumn(name, row_key()).join(keys.withColumnRenamed("k", name), name, "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias(name), F.col("doc_id").cast("long").alias("own_id"))
+    # ids are compared as well, so that equal keys of different documents do no harm
+    left = keyed.join(keys, (F.col(name) == F.col("gone_key")) & F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return left.select("row.*")

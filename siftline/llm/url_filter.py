@@ -6,8 +6,10 @@ allow where the same pattern is in both lists. Scheme, user, port, query and fra
 compared in lower case without a final dot, empty path segments are skipped.
 
 Defined cases: a null URL, or one without ``//host``, is matched by no rule (decision ``none``). ``keep`` is false
-for ``block`` only. Rows are neither dropped nor merged; repeated rows are decided alike. Empty or null patterns
-are ignored. An empty table gives an empty result, no rules give ``none`` throughout.
+for ``block`` only. Rows are neither dropped nor merged; repeated rows are decided alike. White space around patterns
+is ignored, so are empty or null patterns; a kind other than allow and block, null too, is an error. Rules are brought
+to one form before they become a trie or, beyond ``MAX_BROADCAST_RULES``, a table to join, which answers alike. An
+empty table gives an empty result, no rules give ``none`` throughout.
 """
 
 from __future__ import annotations
@@ -29,27 +31,30 @@ def host_column(url: str) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
 
 
-def _split(pattern: str | None) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-    host, _, path = (pattern or "").strip().partition("/")
-    host = host.lower().rstrip(".")
-    return (tuple(reversed(host.split("."))), tuple(x for x in path.split("/") if x)) if host else None
+def normalised(rules: DataFrame) -> DataFrame:
+    """(rule, is_block): distinct rules as ``host/segment/...``; a kind other than allow and block is an error."""
+    pattern = F.regexp_replace("pattern", r"^\s+|\s+$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(pattern, r"^([^/]*)", 1)), r"\.+$", "")
+    parts = F.filter(F.split(F.regexp_extract(pattern, r"(?s)^[^/]*(.*)$", 1), "/"), lambda x: x != "")
+    wrong = F.raise_error(F.concat(F.lit("a rule is allow or block, not "), F.coalesce(F.col("kind"), F.lit("null"))))
+    is_block = F.when(F.col("kind").isin("allow", "block"), F.col("kind") == "block").otherwise(wrong.cast("boolean"))
+    rows = rules.select(F.when(host != "", F.concat_ws("/", F.array(host), parts)).alias("rule"), is_block.alias("is_block"))
+    # the kind is looked at before rules without a host are left out
+    return rows.groupBy("rule").agg(F.max("is_block").alias("is_block")).where("rule is not null and is_block is not null")
 
 
 class Trie:
     """Nodes are [label children, segment children, rule ended here]; a rule is (is block, pattern)."""
 
-    def __init__(self, rules: Iterable[tuple[str | None, str]]) -> None:
+    def __init__(self, rules: Iterable[tuple[str, bool]]) -> None:
         self.top: list = [{}, {}, None]
-        for pattern, kind in rules:
-            if kind not in ("allow", "block"):
-                raise ValueError(f"a rule is allow or block, not {kind!r}")
-            if (key := _split(pattern)) is None:
-                continue
+        for rule, is_block in rules:
+            host, *segments = rule.split("/")
             node = self.top
-            for depth, part in ((0, key[0]), (1, key[1])):
+            for depth, part in ((0, reversed(host.split("."))), (1, segments)):
                 for x in part:
                     node = node[depth].setdefault(x, [{}, {}, None])
-            node[2] = max(node[2] or (False, ""), (kind == "block", ".".join(reversed(key[0])) + "".join(f"/{x}" for x in key[1])))
+            node[2] = (is_block, rule)
 
     def find(self, labels: list[str], segments: list[str]) -> tuple[bool, str] | None:
         best, rank, node = None, (0, 0), self.top
@@ -79,7 +84,7 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", limit: int = MAX_BROADCAST_RULES) -> DataFrame:
     """(id, url, decision, rule, keep) for every row of ``pages``; ``rules`` has pattern and kind (allow, block)."""
-    listed = rules.select("pattern", "kind")
+    listed = normalised(rules)
     head = listed.limit(limit + 1).collect()
     if len(head) > limit:
         return _by_join(pages, listed, id_col, url_col)
@@ -101,10 +106,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 def _by_join(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """The same for lists too long to broadcast: each distinct URL's host suffixes and path prefixes meet the rules in a join."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.trim("pattern"), r"^([^/]*)", 1)), r"\.+$", "")
-    parts = F.filter(F.split(F.regexp_extract(F.trim("pattern"), r"^[^/]*(.*)$", 1), "/"), lambda x: x != "")
-    keyed = rules.select(F.concat_ws("/", F.array(host), parts).alias("rule"), (F.col("kind") == "block").alias("is_block")).where(~F.col("rule").startswith("/") & (F.col("rule") != ""))
-    keyed = keyed.groupBy("rule").agg(F.max("is_block").alias("is_block"))
     urls = _parsed(pages, id_col, url_col).where("labels is not null").select(F.col(url_col).alias("u"), "labels", "segments").distinct()
     keys = urls.select(
         "u",
@@ -115,7 +116,7 @@ def _by_join(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> D
             )
         ).alias("k"),
     ).select("u", "k.*")
-    best = keys.join(keyed, "rule").groupBy("u").agg(F.max_by(F.struct("is_block", "rule"), F.struct("total", "n")).alias("best"))
+    best = keys.join(rules, "rule").groupBy("u").agg(F.max_by(F.struct("is_block", "rule"), F.struct("total", "n")).alias("best"))
     return pages.select(id_col, url_col).join(best, F.col(url_col) == F.col("u"), "left").select(
         id_col, url_col,
         F.when(F.col("best").isNull(), "none").when(F.col("best.is_block"), "block").otherwise("allow").alias("decision"),
