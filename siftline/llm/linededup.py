@@ -1,20 +1,19 @@
 """Line-level deduplication by pairwise alignment.
 
-1. Overlapping documents are found through shared keys: the hash of a line with ``MIN_WORDS`` words, and for a
-   shorter line that of each least block of lines around it that has them, so every run that can be deleted holds a
-   key of each of its lines. A key held by up to ``RARE`` documents links all its holders pairwise. A more frequent
-   one links every holder to the first; holders whose line is still there after the alignment are linked to the next
-   earlier holders, ``STEP`` times as many a round, until the line is deleted or no earlier holder is left. The result
-   is that of aligning all pairs.
-2. Each pair is aligned with patience diff: common ends, then lines unique in both as anchors (longest increasing
-   subsequence), then the same between anchors.
-3. Runs of aligned lines with at least ``MIN_WORDS`` words are deleted from the later document (order: doc_id, then
-   text hash). The first holder of a line always keeps it.
+1. A line with ``MIN_WORDS`` words has a key, its hash; a shorter line has the hash of each least block of lines around
+   it that has them, so every run that can be deleted holds a key of each of its lines.
+2. Overlapping documents are found through shared rare keys: those that up to ``RARE`` documents hold link all their
+   holders. Each pair is aligned with patience diff: common ends, then lines unique in both as anchors (longest
+   increasing subsequence), then the same between anchors. Runs of aligned lines with at least ``MIN_WORDS`` words are
+   deleted from the later document (order: doc_id, then text hash).
+3. A key that more documents hold is boilerplate and links nobody: its lines are deleted from all holders but the
+   first, wherever they stand. So a group of copies of any size makes no more than ``RARE`` pairs a document and key,
+   and no repeat is left for being too frequent.
 
 Lines are cut at newlines and compared without surrounding blanks; blank lines are skipped in alignment and stay.
 Defined cases: rows with null id or text come back unchanged; rows that repeat id and text are one document and all
-lose the same lines; repeats inside one document stay; an empty table gives an empty result. Columns other than text
-are untouched.
+lose the same lines; repeats inside one document stay unless an earlier document holds them; the first holder of a key
+keeps it; an empty table gives an empty result. Columns other than text are untouched.
 """
 
 from __future__ import annotations
@@ -23,16 +22,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as tx
+from .cdc import word_starts
 from .rows import free_name, row_key
 from .scratch import materialise
 
 RARE = 8
 MIN_WORDS = 5
-STEP = 4
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -92,10 +93,9 @@ def repeated_lines(a: list[int], b: list[int], words: list[int], least: int = MI
     return out
 
 
-def keys(h: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(key, index) of each line: of the line itself if it has ``least`` words, else of every least block around it."""
-    out = []
-    for p in range(len(h)):
+def block_keys(h: list[int], words: list[int], short: list[int], least: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
+    """(key, index) of lines with fewer than ``least`` words: one for every least block around the line that has them."""
+    for p in short:
         start, held = p, words[p]
         while True:
             end, n = p, held
@@ -103,23 +103,59 @@ def keys(h: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[i
                 end += 1
                 n += words[end]
             if n >= least:
-                out.append((h[p] if start == end else hash(tuple(h[start : end + 1])), p))
+                yield hash(tuple(h[start : end + 1])), p
             if held >= least or not start:
                 break
             start -= 1
             held += words[start]
-    return out
+
+
+def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in the row, hash, words) of every line that isn't blank."""
+    breaks = np.flatnonzero(data == 10)
+    start, end = np.sort(np.concatenate([breaks + 1, off[:-1]])), np.sort(np.concatenate([breaks, off[1:]]))
+    row = np.searchsorted(off, start, side="right") - 1
+    # rows without text share their start with the next one: each line goes to the row of its own place in order
+    row = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(breaks, off)) + 1) if len(off) > 1 else row
+    number = np.arange(len(row)) - np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))])[row]
+    counted = word_starts(data, off)
+    words = counted[end] - counted[start]
+    said = words > 0
+    row, number, start, end, words = row[said], number[said], start[said], end[said], words[said]
+    place, solid = np.arange(len(data)), data != 32
+    if len(data):
+        first = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
+        last = np.maximum.accumulate(np.where(solid, place, -1))
+        start, end = first[start], last[end - 1] + 1
+    return row, number, tx.signed(tx.span_hashes(tx.prefix_sums(data), start, end)), words
 
 
 def _keyed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, lines = [], []
-            for h, w, i in zip(b.column("h").to_pylist(), b.column("w").to_pylist(), b.column("i").to_pylist(), strict=True):
-                own = keys(h, w, least)
-                found.append([x for x, _ in own])
-                lines.append([i[p] for _, p in own])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("d", "i", "h", "w")], pa.array(found, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int32()))], ["d", "i", "h", "w", "key", "line"])
+            for lo, hi, data, off in tx.chunks(b, "text", lower=False):
+                row, number, h, words = lines(data, off)
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                long = np.flatnonzero(words >= least)
+                found, where = [h[long]], [long]
+                short = np.flatnonzero(words < least)
+                cut = np.searchsorted(short, at)
+                for r in np.flatnonzero(np.diff(cut)):
+                    s, e = at[r], at[r + 1]
+                    own = list(block_keys(h[s:e].tolist(), words[s:e].tolist(), (short[cut[r] : cut[r + 1]] - s).tolist(), least))
+                    if own:
+                        key, p = zip(*own, strict=True)
+                        found.append(np.array(key, dtype=np.int64))
+                        where.append(np.array(p, dtype=np.int64) + s)
+                key, place = np.concatenate(found), np.concatenate(where)
+                order = np.argsort(row[place], kind="stable")
+                key, place = key[order], place[order]
+                ends = np.searchsorted(row[place], np.arange(hi - lo + 1))
+                listed = lambda o, x, kind: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).slice(lo, hi - lo) for c in ("doc_id", "k")], listed(at, number, pa.int32()), listed(at, h, pa.int64()), listed(at, words, pa.int32()), listed(ends, key, pa.int64()), listed(ends, number[place], pa.int32())],
+                    ["doc_id", "k", "i", "h", "w", "key", "line"],
+                )
 
     return run
 
@@ -130,46 +166,41 @@ def _align(least: int):
             gone = []
             for x, y, w, at in zip(b.column("ah").to_pylist(), b.column("bh").to_pylist(), b.column("bw").to_pylist(), b.column("bi").to_pylist(), strict=True):
                 gone.append([at[n] for n in repeated_lines(x, y, w, least)])
-            yield pa.RecordBatch.from_arrays([b.column("b"), pa.array(gone, pa.list_(pa.int32()))], ["b", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "k", "gone"])
 
     return run
 
 
+def _once(cut: DataFrame) -> DataFrame:
+    """Each document once. Arrays are shuffled only for those that are there more often."""
+    again = cut.groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k")
+    if again.isEmpty():
+        return cut
+    return cut.join(again, ["doc_id", "k"], "left_anti").unionByName(cut.join(again, ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"]))
+
+
 def deletions(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
     """(k, gone): line numbers to delete from the document with row key k."""
-    doc = "struct<doc_id:bigint,k:bigint>"
-    lines = F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(i as i, xxhash64(trim(x)) as h, regexp_count(x, '\\\\S+') as w)), s -> s.w > 0)")
-    cut = docs.where("doc_id is not null and text is not null").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k")).alias("d"), lines.alias("lines"))
-    cut = cut.where("size(lines) > 0").select("d", F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.w").alias("w"))
-    cut = materialise(cut.mapInArrow(_keyed(least), f"d {doc}, i array<int>, h array<bigint>, w array<int>, key array<bigint>, line array<int>"), "lines")
-    one = cut.select("d", "i", "h", "w").dropDuplicates(["d"])
-
-    def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(one.select(F.col("d").alias("a"), F.col("h").alias("ah")), "a").join(one.select(F.col("d").alias("b"), F.col("h").alias("bh"), F.col("w").alias("bw"), F.col("i").alias("bi")), "b")
-        gone = both.select("b", "ah", "bh", "bw", "bi").mapInArrow(_align(least), f"b {doc}, gone array<int>")
-        return materialise(gone.select(F.col("b").alias("d"), F.explode("gone").alias("line")).distinct(), "gone")
-
-    links = cut.select("d", F.explode(F.array_distinct("key")).alias("h"))
-    held = links.groupBy("h").agg(F.countDistinct("d").alias("n"), F.min("d").alias("first")).where("n > 1")
-    shared = links.join(held, "h")
-    to_first = shared.where("d != first").select(F.col("first").alias("a"), F.col("d").alias("b"))
-    sets = shared.where(F.col("n").between(3, rare)).groupBy("h").agg(F.array_sort(F.collect_set("d")).alias("ds"))
-    among = sets.select(F.explode(F.expr("flatten(transform(ds, (x, i) -> transform(filter(ds, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    found = aligned(to_first.union(among).distinct())
-    # of frequent keys: every holder with its place among them
-    places = cut.select("d", F.explode(F.arrays_zip("key", "line")).alias("x")).select("d", F.col("x.key").alias("h"), F.col("x.line").alias("line"))
-    often = places.join(held.where(F.col("n") > rare).select("h"), "h").withColumn("rank", F.dense_rank().over(Window.partitionBy("h").orderBy("d")))
-    often = materialise(often, "often")
-    left, tried, gone = often, 1, found
-    while True:
-        left = materialise(left.where(F.col("rank") > tried + 1).join(found, ["d", "line"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-        earlier = often.where(F.col("rank").between(tried + 1, tried * STEP)).select("h", F.col("d").alias("a"), F.col("rank").alias("place")).distinct()
-        again = left.select("h", F.col("d").alias("b"), "rank").distinct().join(earlier, "h").where("place < rank")
-        found = aligned(again.select("a", "b").distinct())
-        gone, tried = gone.union(found), tried * STEP
-    return gone.select(F.col("d.k").alias("k"), "line").groupBy("k").agg(F.collect_set("line").alias("gone"))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    cut = texts.mapInArrow(_keyed(least), "doc_id long, k long, i array<int>, h array<bigint>, w array<int>, key array<bigint>, line array<int>").where("size(h) > 0")
+    cut = _once(materialise(cut, "lines"))
+    held = cut.select(F.explode(F.array_distinct("key")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    places = cut.select("doc_id", "k", F.explode(F.arrays_zip("key", "line")).alias("x")).select("doc_id", "k", F.col("x.key").alias("key"), F.col("x.line").alias("line"))
+    shared = materialise(places.join(held, "key"), "shared")
+    often = shared.where(F.col("n") > rare)
+    least_id = often.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    # of rows that share the least id the one with the least key is the first
+    first = often.select("key", "doc_id", "k").join(least_id, ["key", "doc_id"]).groupBy("key").agg(F.min("doc_id").alias("least"), F.min("k").alias("least_k"))
+    boiler = often.join(first, "key").where("doc_id != least or k != least_k").select("k", "line")
+    one = F.struct("doc_id", "k")
+    sets = shared.where(F.col("n") <= rare).groupBy("key").agg(F.array_sort(F.collect_set(one)).alias("ds"))
+    pairs = sets.select(F.explode(F.expr("flatten(transform(ds, (x, i) -> transform(slice(ds, i + 2, size(ds)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
+    pairs = pairs.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("doc_id", "k")])
+    a = cut.select(F.col("doc_id").alias("a_doc_id"), F.col("k").alias("a_k"), F.col("h").alias("ah"))
+    b = cut.select(F.col("doc_id").alias("b_doc_id"), F.col("k").alias("b_k"), F.col("h").alias("bh"), F.col("w").alias("bw"), F.col("i").alias("bi"))
+    both = pairs.join(a, ["a_doc_id", "a_k"]).join(b, ["b_doc_id", "b_k"]).select(F.col("b_doc_id").alias("doc_id"), F.col("b_k").alias("k"), "ah", "bh", "bw", "bi")
+    gone = both.mapInArrow(_align(least), "doc_id long, k long, gone array<int>").select("k", F.explode("gone").alias("line"))
+    return gone.union(boiler).groupBy("k").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:

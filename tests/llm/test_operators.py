@@ -191,44 +191,6 @@ def test_items_with_null_or_shared_ids_are_found(spark):
     assert {(r["doc_id"], r["item_id"], r["containment"]) for r in found} == {(0, None, 1.0), (1, 1, 1.0), (2, 1, 1.0)} and len(found) == 3
 
 
-# 6 ---------------------------------------------------------------------------------------------------------------
-
-
-def test_repeated_blocks_go_from_later_documents(spark):
-    block = "this is a long shared passage of many words\nand its second line goes on as well"
-    texts = [f"first own line here\n{block}\nend one", f"{block}\nother text that is only here", "unrelated words that nobody repeats", "end one", None, "", f"x y\n{block}"]
-    out = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
-    assert out[0]["text"] == texts[0] and out[1]["text"] == "other text that is only here" and out[6]["text"] == "x y"
-    assert out[3]["text"] == "end one" and out[4]["text"] is None and out[2]["lines_removed"] == 0
-    kept = stages.drop_repeated_lines(frame(spark, [texts[0], texts[0], texts[2]]))
-    assert {r["doc_id"] for r in kept.collect()} == {0, 2}
-
-
-def test_frequent_lines_reach_every_later_holder(spark):
-    line = "one line that very many documents hold in common"
-    out = linededup.dedup_lines(frame(spark, [f"{prose(6)}\n{line}" for _ in range(40)])).collect()
-    assert sorted(r["lines_removed"] for r in out) == [0] + [1] * 39
-
-
-def test_frequent_lines_fall_to_any_earlier_holder(spark):
-    rng = np.random.default_rng(12)
-    common = [prose(6, rng) for _ in range(5)] + ["two words", "and three more", "yes"]
-    texts = ["\n".join([*(prose(8, rng) for _ in range(2)), *rng.permutation(common)[: rng.integers(2, 9)], *common[: rng.integers(0, 2)]]) for _ in range(60)]
-    want = {}
-    for j, b in enumerate(texts):
-        gone = {n for a in texts[:j] for n in linededup.repeated_lines(a.split("\n"), b.split("\n"), [len(x.split()) for x in b.split("\n")])}
-        want[j] = "\n".join(x for n, x in enumerate(b.split("\n")) if n not in gone)
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, texts)).collect()} == want
-
-
-def test_patience_aligns_like_a_common_subsequence():
-    rng = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = rng.integers(0, 12, rng.integers(0, 20)).tolist(), rng.integers(0, 12, rng.integers(0, 20)).tolist()
-        pairs = linededup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
-
-
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
