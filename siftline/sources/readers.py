@@ -52,7 +52,7 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: list(split_json(text)))
 
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return _numbered(whole.select(F.explode(split("value")).alias("doc")))
 
 
