@@ -7,7 +7,8 @@ compared in lower case without a final dot, empty path segments are skipped.
 
 Defined cases: a null URL, or one without ``//host``, is matched by no rule (decision ``none``). ``keep`` is false
 for ``block`` only. Rows are neither dropped nor merged; repeated rows are decided alike. White space around patterns
-is ignored, so are empty or null patterns; a kind other than allow and block, null too, is an error. Rules are brought
+is ignored, so are rules without a host, whatever their kind; another kind than allow and block, null too, is an
+error. Rules are brought
 to one form before they become a trie or, beyond ``MAX_BROADCAST_RULES``, a table to join, which answers alike. An
 empty table gives an empty result, no rules give ``none`` throughout.
 """
@@ -39,7 +40,6 @@ def normalised(rules: DataFrame) -> DataFrame:
     wrong = F.raise_error(F.concat(F.lit("a rule is allow or block, not "), F.coalesce(F.col("kind"), F.lit("null"))))
     is_block = F.when(F.col("kind").isin("allow", "block"), F.col("kind") == "block").otherwise(wrong.cast("boolean"))
     rows = rules.select(F.when(host != "", F.concat_ws("/", F.array(host), parts)).alias("rule"), is_block.alias("is_block"))
-    # the kind is looked at before rules without a host are left out
     return rows.groupBy("rule").agg(F.max("is_block").alias("is_block")).where("rule is not null and is_block is not null")
 
 
