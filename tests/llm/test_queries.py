@@ -16,11 +16,3 @@ def test_matches_sql(spark, name):
     assert cols == sorted(d[0] for d in theirs.description)
     at = {d[0]: i for i, d in enumerate(theirs.description)}
     assert sorted(str([r[c] for c in cols]) for r in ours.collect()) == sorted(str([r[at[c]] for c in cols]) for r in theirs.fetchall())
-
-
-def test_pipeline_keeps_columns_and_shrinks(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = pipeline.run(spark, SF)
-    assert out.columns == [*docs.columns, "mix_source", "mix_uses"] and 0 < out.count() < docs.count()
-    assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "source_mix"]
