@@ -217,6 +217,30 @@ def stored_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(index, Request(search_req=Tree("and", (Part("text", ("the",)), Part("source", ("src1",)))), text_locality=True))
 
 
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept in memory."""
+    return _found(part_index(spark, sf_dir).in_memory(), Request(search_req=Tree("or", (NAME_BLUE, NAME_BOLT))))
+
+
+def index_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over JSON lines given as one string."""
+    rows = table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_name", "n_regionkey")).alias("doc")).orderBy("n_nationkey").collect()
+    index = Index.from_lines(spark, "\n".join(r["doc"] for r in rows) + "\n\n")
+    return index.leafs.select("path", "doc_id", "value")
+
+
+def select_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts longer than what a dictionary holds come back whole."""
+    rows = search.search(document_index(spark, sf_dir), Request(search_req=Part("source", ("src1",)), select=("text",), top=5)).data
+    return rows.select("doc_id", F.get_json_object("doc", "$.text").alias("text"), F.size(F.json_object_keys("doc")).alias("fields"))
+
+
+def why_found_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = Request(search_req=Tree("or", (NAME_BLUE, Part("p_type", ("PROMO",)))), select=("p_brand",), why_found=True, top=10)
+    rows = search.search(part_index(spark, sf_dir), request).data
+    return rows.select("doc_id", "doc", F.element_at(F.col("why_found")["p_name"], 1).alias("name"), F.element_at(F.col("why_found")["p_type"], 1).alias("type"))
+
+
 def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table of a saved index."""
     index = _stored(spark, part_index(spark, sf_dir))
@@ -229,7 +253,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     token_values, tree_options, tokenize_single, separators_of_a_field, normalize_texts, json_request, url_parameters, default_top, num_hits, counters, term_ids, inspect_postings, doc_by_id, no_select,
-    select_nested, rebuilt_documents, json_flatten, json_lines_file, json_array_file, csv_file, facet_all_values, stopwords_german, suggest_page, highlight_page, stored_search, stored_search_text, stored_tables,
+    select_nested, rebuilt_documents, json_flatten, json_lines_file, json_array_file, csv_file, facet_all_values, stopwords_german, suggest_page, highlight_page, stored_search, stored_search_text, memory_search, index_from_text, select_long_text, why_found_select, stored_tables,
 )
 
 
@@ -342,5 +366,10 @@ def oracle_sql() -> dict[str, str]:
         "highlight_page": _SNIPPETS.replace("RUNS", main.runs_sql()),
         "stored_search": scores(parts, f"(SELECT doc_id, score * log10({price} + 1.0::DOUBLE) AS score FROM {any_of(('blue', blue), ('bo', prefix('bo')), ('ECONOMI', economy))} {keyed})"),
         "stored_search_text": scores(docs, all_of(leaf("text", "the"), leaf("source", "src1"))),
+        "memory_search": scores(parts, either),
+        "index_from_text": "SELECT 'n_name' AS path, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS doc_id, n_name AS value FROM nation UNION ALL SELECT 'n_regionkey', row_number() OVER (ORDER BY n_nationkey) - 1, CAST(n_regionkey AS VARCHAR) FROM nation",
+        "select_long_text": f"{docs} SELECT doc_id, text, 1 AS fields FROM documents WHERE doc_id IN (SELECT doc_id FROM {leaf('source', 'src1')} ORDER BY score DESC, doc_id DESC LIMIT 5)",
+        "why_found_select": f"{parts} SELECT doc_id, '{{\"p_brand\": \"' || p_brand || '\"}}' AS doc, CASE WHEN list_contains(string_split(p_name, ' '), 'blue') THEN replace(p_name, 'blue', '<b>blue</b>') END AS name, CASE WHEN p_type = 'PROMO' THEN '<b>PROMO</b>' END AS type "
+        f"FROM (SELECT * FROM {any_of(('blue', blue), ('PROMO', promo))} ORDER BY score DESC, doc_id DESC LIMIT 10) f JOIN part ON doc_id = p_partkey",
         "stored_tables": all_parts + _STORED_TABLES.replace("CLASS", main.class_sql()),
     }

@@ -195,6 +195,19 @@ class Index:
 
     # --- storage --------------------------------------------------------------------------------------------
 
+    def in_memory(self) -> Index:
+        """The same index with its tables kept by the executors, on disk where memory is short; searches read them."""
+        kept = Index(self.spark, self.leafs.persist(StorageLevel.MEMORY_AND_DISK), self._docs, self.config, self.paths)
+        kept.raw_config, kept.token_values, kept.stored = self.raw_config, self.token_values, True
+        kept.terms = kept.terms.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.postings = kept.postings.persist(StorageLevel.MEMORY_AND_DISK)
+        return kept
+
+    def release(self) -> None:
+        """Give back what :meth:`in_memory` keeps."""
+        for table in (self.postings, self.terms, self.leafs):
+            table.unpersist()
+
     def save(self, path: str) -> None:
         """Write all tables, each split by field and sorted by term so that row groups prune, and the metadata.
 
