@@ -124,6 +124,16 @@ def test_chat_spans_and_rewrites(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    """Every prefix is rendered, so the spans of 300 turns tile the last rendering; one text is a million characters."""
+    said = [{"role": "user" if n % 2 else "assistant", "text": f"turn {n} " + "x" * (n % 7)} for n in range(300)] + [{"role": "user", "text": "y" * 1_000_000}]
+    found = chat.spans(said, chat.chatml)
+    assert [s for _, _, s in found] == ["ok"] * 301 and found[0][0] == 0 and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+    rows = spark.createDataFrame([(1, n, t["role"], t["text"]) for n, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    out = {r["turn"]: r for r in chat.format_chats(rows).collect()}
+    assert len(out) == 301 and out[300]["span"] == f"<|im_start|>user\n{'y' * 1_000_000}<|im_end|>\n" and out[300]["start"] == found[300][0]
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
