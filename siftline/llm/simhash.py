@@ -117,22 +117,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _sign_sums(word: np.ndarray, weight: np.ndarray, starts: np.ndarray, step: int = 20_000) -> np.ndarray:
-    """Rows of 128 sums of +-weight; a row's words begin at starts[i]."""
+    """Rows of 128 sums of weights, plus half of each where the word's bit is set and minus half where it isn't; a
+    row's words begin at starts[i]."""
     sums = np.zeros((len(starts), 128), dtype=np.float32)
+    ends = np.append(starts[1:], len(word))
     for lo in range(0, len(word), step):
         w = word[lo : lo + step]
-        bits = np.unpackbits(np.stack([tx.mix(w), tx.mix(w ^ np.uint64(0x5DEECE66D1234567))], axis=1).view(np.uint8).reshape(len(w), 16), axis=1)
-        part = bits.astype(np.float32)
-        part -= 0.5
-        part *= weight[lo : lo + step, None]
+        bits = np.unpackbits(np.stack([tx.mix(w), tx.mix(w ^ np.uint64(0x5DEECE66D1234567))], axis=1).view(np.uint8).reshape(len(w), 16), axis=1).astype(np.float32)
         a = np.searchsorted(starts, lo, side="right") - 1
         b = np.searchsorted(starts, lo + len(w), side="left")
-        cut = np.maximum(starts[a:b] - lo, 0)
-        sums[a:b] += np.add.reduceat(part, cut, axis=0)
+        for r in range(a, b):  # one product of a vector and a matrix for each text
+            s, e = max(starts[r], lo), min(ends[r], lo + len(w))
+            own = weight[s:e].astype(np.float32)
+            sums[r] += own @ bits[s - lo : e - lo] - np.float32(0.5) * own.sum()
     return sums
 
 
-# --- trie self-join -------------------------------------------------------------------------------------------
+# --- trie self-join
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

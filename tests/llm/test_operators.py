@@ -47,7 +47,7 @@ def test_scorers_give_each_row_a_result(spark, name):
     assert ROWS[name](empty(spark)).count() == 0
 
 
-# 1 ---------------------------------------------------------------------------------------------------------------
+# 1
 
 RULES = [("example.com", "block"), ("good.example.com", "allow"), ("example.com/free", "allow"), ("example.com/free/not", "block"), ("both.org", "allow"), ("both.org", "block"), (None, "block"), ("", "allow")]
 URLS = ["http://example.com/x", "https://A.B.example.com./free/1", "http://example.com/free/not/2?q=1#f", "//good.example.com", "http://u:p@both.org:80/", "http://notexample.com", "nonsense", "", None, "http://example.com/freedom", "http://example.com//free//x"]
@@ -65,7 +65,7 @@ def test_url_filter(spark, limit):
     assert {r["decision"] for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"none"}
 
 
-# 2 ---------------------------------------------------------------------------------------------------------------
+# 2
 
 
 @pytest.mark.parametrize("prefix", [3, 6])
@@ -110,7 +110,7 @@ def test_near_copies_are_grouped(spark):
     assert all(found[120 + i]["group_id"] == i for i in range(5)) and all(found[i]["keep"] for i in range(60))
 
 
-# 3 ---------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def test_chat_spans_and_rewrites(spark):
@@ -134,7 +134,7 @@ def test_long_conversations_and_texts(spark):
     assert len(out) == 301 and out[300]["span"] == f"<|im_start|>user\n{'y' * 1_000_000}<|im_end|>\n" and out[300]["start"] == found[300][0]
 
 
-# 4 ---------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def test_languages_held_out_and_rejected(spark):
@@ -161,7 +161,7 @@ def test_texts_of_a_language_without_labels_are_rejected(spark):
     assert all(r["got"] == "und" for r in found if r["lang"] == "und")
 
 
-# 5 ---------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def brute_containment(docs, items, n=5, threshold=0.6):
@@ -201,7 +201,7 @@ def test_items_with_null_or_shared_ids_are_found(spark):
     assert {(r["doc_id"], r["item_id"], r["containment"]) for r in found} == {(0, None, 1.0), (1, 1, 1.0), (2, 1, 1.0)} and len(found) == 3
 
 
-# 7 ---------------------------------------------------------------------------------------------------------------
+# 7
 
 
 def cost(flow, supply, quota, repeats):
@@ -242,7 +242,7 @@ def test_mixture_meets_reachable_weights(spark):
     assert {(r["doc_id"], r["source"], r["uses"]) for r in first.collect()} == {(r["doc_id"], r["source"], r["uses"]) for r in mixing.mix(docs, {"a": 0.5, "b": 0.5}).collect()}
 
 
-# 8 ---------------------------------------------------------------------------------------------------------------
+# 8
 
 
 def brute_kneser_ney(texts, order):
@@ -284,7 +284,7 @@ def test_language_model_as_registered_stores_every_ngram(spark, tmp_path):
         assert found[i] == (None if want is None else pytest.approx(want, rel=1e-4)), i
 
 
-# 9 ---------------------------------------------------------------------------------------------------------------
+# 9
 
 
 def test_label_model_recovers_accuracies():
