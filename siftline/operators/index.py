@@ -33,7 +33,7 @@ class Index:
         self.raw_config: str | None = None
         self.stored = False
 
-    # --- making ---------------------------------------------------------------------------------------------
+    # --- making
 
     @staticmethod
     def from_docs(spark: SparkSession, docs: DataFrame, config: str | None = None) -> Index:
@@ -70,7 +70,7 @@ class Index:
         rows = given.join(known, "term", "left_semi").groupBy("term").agg(F.first("value").alias("value"))
         self.token_values = self.token_values.unionByName(rows.select(F.lit(path).alias("path"), "term", "value"))
 
-    # --- tables ---------------------------------------------------------------------------------------------
+    # --- tables
 
     @property
     def docs(self) -> DataFrame:
@@ -145,7 +145,7 @@ class Index:
             self._boost_terms[key] = now, make().persist(StorageLevel.MEMORY_AND_DISK)
         return self._boost_terms[key][1]
 
-    # --- metadata -------------------------------------------------------------------------------------------
+    # --- metadata
 
     @cached_property
     def paths(self) -> list[str]:
@@ -193,7 +193,7 @@ class Index:
             rows = rows.where(F.col(name) == F.lit(value))
         return rows
 
-    # --- storage --------------------------------------------------------------------------------------------
+    # --- storage
 
     def in_memory(self) -> Index:
         """The same index with its tables kept by the executors, on disk where memory is short; searches read them."""

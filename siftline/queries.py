@@ -195,7 +195,7 @@ def queries() -> dict[str, Query]:
     return {name: _hits(table, request) for name, (table, request) in REQUESTS.items()} | {f.__name__: f for f in own}
 
 
-# --- the same in SQL ------------------------------------------------------------------------------------------
+# --- the same in SQL
 
 def class_sql(chars: str | None = None) -> str:
     return text.separator_class(chars).replace("'", "''")
