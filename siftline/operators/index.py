@@ -55,6 +55,7 @@ class Index:
         """From a typed table: no JSON on the way, only the named columns are read."""
         names = [c for c in df.columns if c != id_col and (columns is None or c in columns)]
         docs = readers.from_dataframe(df, id_col)
+        df = readers.spread(df, [id_col, *names])
         simple = all(not hasattr(df.schema[c].dataType, "elementType") and not hasattr(df.schema[c].dataType, "fields") for c in names)
         return Index(spark, flatten.flatten_columns(df, id_col, columns), docs, Config.parse(config), sorted(names) if simple else None)
 

@@ -25,6 +25,13 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return tagged.join(F.broadcast(moved), "part").select((F.col("at") + F.col("by")).cast("long").alias("doc_id"), "doc")
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns over all cores where the input has fewer splits than there are cores; large inputs stay as they are."""
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One document per line, from any number of files."""
     return _numbered(spark.read.text(path).where("trim(value) != ''").withColumnRenamed("value", "doc"))
