@@ -177,7 +177,9 @@ def explain(index: Index, request: Request) -> DataFrame:
     """
     if request.search_req is None:
         raise InvalidRequest("search_req is missing")
-    top = page(hits(index, request), request.top, request.skip).select("doc_id", F.col("score").alias("final"))
+    # one page of ids and scores, which every step below starts from
+    rows = page(hits(index, request), request.top, request.skip).collect()
+    top = index.spark.createDataFrame([(r["doc_id"], r["score"]) for r in rows], "doc_id long, final double")
     steps = []
     for p in dict.fromkeys(parts(request.search_req)):
         found = posted(index, p, F.broadcast(top.select("doc_id"))).select("doc_id", F.lit(p.path).alias("path"), "term", "score", "anchor")

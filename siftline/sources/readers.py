@@ -26,8 +26,13 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns over all cores where the input has fewer splits than there are cores; large inputs stay as they are."""
+    """The columns over all cores where a scan has fewer splits than there are cores; large inputs stay as they are.
+
+    A plan with a shuffle of its own is left to adaptive execution: asking for its partitions would run it.
+    """
     df = df.select(*[F.col(f"`{c}`") for c in columns])
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().nodeName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
