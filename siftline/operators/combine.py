@@ -13,7 +13,7 @@ from ..functions import scoring
 from ..plans.request import Boost, Node, Part, PhraseBoost, parts, term_key
 from .flatten import array_prefix
 from .index import Index
-from .match import fits, fitting_entries, leaf_hits, matched_terms, swaps, whole_value_docs
+from .match import few_terms, fits, fitting_entries, leaf_hits, matched_terms, swaps, whole_value_docs
 from .tables import text_id, with_tokens
 
 #: Of the locality boosts that reach a document the least is applied.
@@ -77,9 +77,9 @@ def _boosted_leaf(index: Index, part: Part, only: DataFrame | None, boosts: tupl
         if prefix and prefix == array_prefix(part.path):
             depth = prefix.count("[]")
             element = lambda pos: F.slice(pos, 1, depth)
-            places = fitting_entries(index, part, index.leafs).join(matched_terms(index, part).select("term"), "term", "left_semi")
+            places = fitting_entries(index, part).join(few_terms(index, part)[0].select("term"), "term", "left_semi")
             places = places.select("doc_id", element(F.col("pos")).alias("at")).distinct()
-            values = index.boosts.where(F.col("path") == boost.path).select("doc_id", element(F.col("pos")).alias("at"), "boost")
+            values = index.table("boosts", boost.path).select("doc_id", element(F.col("pos")).alias("at"), "boost")
             found = values.join(places, ["doc_id", "at"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "boost"))).alias("bs"))
             each = F.aggregate("bs", F.col("score"), _applying(boost))
             hits = hits.join(found, "doc_id", "left").select("doc_id", F.when(F.col("bs").isNull(), F.col("score")).otherwise(each).alias("score"))
@@ -92,7 +92,7 @@ def _applying(boost: Boost) -> Callable[[Column, Column], Column]:
 
 def document_boost(index: Index, hits: DataFrame, boost: Boost) -> DataFrame:
     """A boost by a number of the document itself; documents without it keep their score."""
-    values = index.boosts.where(F.col("path") == boost.path).groupBy("doc_id").agg(F.first("boost").alias("boost"))
+    values = index.table("boosts", boost.path).groupBy("doc_id").agg(F.first("boost").alias("boost"))
     return hits.join(values, "doc_id", "left").select("doc_id", scoring.boosted(F.col("score"), F.col("boost"), boost).alias("score"))
 
 
@@ -108,9 +108,9 @@ def phrase_boosts(index: Index, hits: DataFrame, boosts: tuple[PhraseBoost, ...]
     for b in boosts:
         if b.search1.path != b.search2.path:
             continue
-        pairs = index.phrase_pairs.where(F.col("path") == b.search1.path)
+        pairs = index.table("phrase_pairs", b.search1.path)
         for column, part in (("t1", b.search1), ("t2", b.search2)):
-            pairs = pairs.join(matched_terms(index, part).select(F.col("term").alias(column)), column, "left_semi")
+            pairs = pairs.join(few_terms(index, part)[0].select(F.col("term").alias(column)), column, "left_semi")
         found.append(pairs.select(F.lit(b.search1.term).alias("a"), F.lit(b.search2.term).alias("b"), "doc_id"))
     if not found:
         return hits
@@ -140,11 +140,11 @@ def text_locality(index: Index, hits: DataFrame, node: Node) -> DataFrame:
     for path, own in by_path.items():
         if len({p.term for p in own}) < 2:
             continue
-        rows = index.leafs.where(F.col("path") == path)
+        rows = index.leafs_of(path)
         if any(p.top is not None or swaps(p) for p in own):
             # terms that only the dictionary can tell: texts are found by them, and documents by the texts' ids
             words = reduce(DataFrame.unionByName, [matched_terms(index, p).select(F.lit(i).alias("i"), F.col("term").alias("token")) for i, p in enumerate(own)]).distinct()
-            texts = index.token_texts.where(F.col("path") == path).join(words, "token").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+            texts = index.table("token_texts", path).join(words, "token").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
             at = rows.select("doc_id", *text_id()).join(texts, ["h1", "h2"])
         else:
             # the same count inside each text: distinct tokens that fit, for each part

@@ -59,18 +59,27 @@ def _text(column: Column, kind: T.DataType) -> Column:
     return F.regexp_replace(text, r"\.0$", "") if isinstance(kind, T.DoubleType | T.FloatType) else text
 
 
-def flatten_columns(df: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
+def schema_paths(kind: T.DataType, path: str) -> list[str]:
+    """Paths of the leaves below a column of this type."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{path}.{f.name}")]
+    return schema_paths(kind.elementType, path + "[]") if isinstance(kind, T.ArrayType) else [path]
+
+
+def flatten_columns(df: DataFrame, id_col: str, columns: list[str] | None = None, only: str | None = None) -> DataFrame:
     """Leaves of typed rows. One scan: scalar leaves come from one explode, each array adds one more level.
 
-    ``columns`` limits which top-level columns are read.
+    ``columns`` limits which top-level columns are read, ``only`` names the one path that is wanted.
     """
+    leads = lambda kind, path: only is None or only in schema_paths(kind, path)
     wanted = [f for f in df.schema.fields if f.name != id_col and (columns is None or f.name in columns)]
     found: list[Column] = []
 
     def walk(column: Column, kind: T.DataType, path: str, pos: Column) -> Column:
         """An array of (path, pos, value) structs for everything below."""
         if isinstance(kind, T.StructType):
-            return F.flatten(F.array(*[walk(column[f.name], f.dataType, f"{path}.{f.name}", pos) for f in kind.fields]))
+            below = [walk(column[f.name], f.dataType, f"{path}.{f.name}", pos) for f in kind.fields if leads(f.dataType, f"{path}.{f.name}")]
+            return below[0] if len(below) == 1 else F.flatten(F.array(*below))
         if isinstance(kind, T.ArrayType):
             inner = F.transform(column, lambda x, i: walk(x, kind.elementType, path + "[]", F.concat(pos, F.array(i))))
             return F.coalesce(F.flatten(inner), _none())
@@ -80,7 +89,7 @@ def flatten_columns(df: DataFrame, id_col: str, columns: list[str] | None = None
     def _none() -> Column:
         return F.array().cast("array<struct<path:string,pos:array<int>,value:string>>")
 
-    for f in wanted:
+    for f in (f for f in wanted if leads(f.dataType, f.name)):
         found.append(walk(F.col(f"`{f.name}`"), f.dataType, f.name, F.array().cast("array<int>")))
     if not found:
         return df.sparkSession.createDataFrame([], SCHEMA)
@@ -107,31 +116,47 @@ def _steps(path: str) -> list[str]:
     return [x for part in path.split(".") for x in (part.rstrip("[]"), *["[]"] * part.count("[]"))]
 
 
-def assemble(rows: list[tuple[str, list[int], str]]) -> object:
-    """A nested document from (path, pos, value); elements that aren't there are skipped, keys come in order of paths."""
+def assemble(rows: list[tuple[str, list[int], str]], steps: dict[str, list[str]] | None = None) -> object:
+    """A nested document from (path, pos, value); elements that aren't there are skipped, keys come in order of paths.
+
+    ``steps`` keeps the steps of paths from one document to the next.
+    """
     top: dict = {}
+    known = {} if steps is None else steps
     for path, pos, value in sorted(rows):
-        node, places = top, iter(pos)
-        steps = [next(places) if s == "[]" else s for s in _steps(path)]
-        for s, after in zip(steps, [*steps[1:], None], strict=True):
-            node = node.setdefault(s, value if after is None else {})
+        own = known.get(path)
+        if own is None:
+            own = known[path] = _steps(path)
+        node, at, last = top, 0, len(own) - 1
+        for i, s in enumerate(own):
+            if s == "[]":
+                s = pos[at]
+                at += 1
+            node = node.setdefault(s, value if i == last else {})
             if not isinstance(node, dict):
                 break
+    return _shaped(top)
 
-    def shaped(node: object) -> object:
-        if not isinstance(node, dict):
-            return node
-        return [shaped(node[k]) for k in sorted(node)] if node and all(isinstance(k, int) for k in node) else {str(k): shaped(v) for k, v in node.items()}
 
-    return shaped(top)
+def _shaped(node: dict) -> object:
+    if node and all(isinstance(k, int) for k in node):
+        return [_shaped(node[k]) if isinstance(node[k], dict) else node[k] for k in sorted(node)]
+    return {str(k): _shaped(v) if isinstance(v, dict) else v for k, v in node.items()}
 
 
 def rebuild(leafs: DataFrame) -> DataFrame:
     """(doc_id, doc) from leaves: one group holds the leaves of one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: dict[str, list[str]] = {}
         for b in batches:
-            docs = [json.dumps(assemble([(x["path"], x["pos"], x["value"]) for x in rows]), ensure_ascii=False) for rows in b.column("rows").to_pylist()]
+            lists = b.column("rows")
+            ends, all_rows = lists.offsets.to_pylist(), lists.values
+            # columns are turned into Python's values whole, not leaf by leaf as dictionaries
+            paths, values, pos = (all_rows.field(n) for n in ("path", "value", "pos"))
+            places, cuts = pos.values.to_pylist(), pos.offsets.to_pylist()
+            leaf = list(zip(paths.to_pylist(), [places[i:j] for i, j in zip(cuts, cuts[1:])], values.to_pylist(), strict=True))
+            docs = [json.dumps(assemble(leaf[i:j], steps), ensure_ascii=False) for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(docs, pa.string())], ["doc_id", "doc"])
 
     return leafs.groupBy("doc_id").agg(F.collect_list(F.struct("path", "pos", "value")).alias("rows")).mapInArrow(run, "doc_id long, doc string")

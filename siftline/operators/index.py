@@ -30,6 +30,7 @@ class Index:
         self.spark, self.leafs, self._docs, self.config, self._paths = spark, leafs, docs, config or Config(), paths
         self.token_values = spark.range(0).selectExpr("'' AS path", "'' AS term", "CAST(0 AS double) AS value")
         self.few: dict[Any, Any] = {}
+        self._made: Callable[[str], DataFrame] | None = None
         self._boost_terms: dict[Any, tuple[float, DataFrame]] = {}
         self.raw_config: str | None = None
         self.stored = False
@@ -57,8 +58,10 @@ class Index:
         names = [c for c in df.columns if c != id_col and (columns is None or c in columns)]
         docs = readers.from_dataframe(df, id_col)
         df = readers.spread(df, [id_col, *names])
-        simple = all(not hasattr(df.schema[c].dataType, "elementType") and not hasattr(df.schema[c].dataType, "fields") for c in names)
-        return Index(spark, flatten.flatten_columns(df, id_col, columns), docs, Config.parse(config), sorted(names) if simple else None)
+        paths = sorted({p for c in names for p in flatten.schema_paths(df.schema[c].dataType, c)})
+        index = Index(spark, flatten.flatten_columns(df, id_col, columns), docs, Config.parse(config), paths)
+        index._made = lambda path: flatten.flatten_columns(df, id_col, columns, path)
+        return index
 
     @staticmethod
     def create(spark: SparkSession) -> Index:
@@ -89,11 +92,16 @@ class Index:
             return self.leafs.where(F.col("path").isin([n for n, f in self.config.fields.items() if has(f)]))
         return self.leafs.where(~F.col("path").isin(off)) if off else self.leafs
 
+    def leafs_of(self, path: str, feature: str | None = None) -> DataFrame:
+        """Leaves of one field, if it has the feature; of a table's rows the other fields aren't taken apart."""
+        rows = (self.leafs if self._made is None or path not in self.paths else self._made(path)).where(F.col("path") == path)
+        return rows if feature is None or self.config.of(path).has(feature) else rows.where(F.lit(False))
+
     def table(self, name: str, path: str) -> DataFrame:
         """Rows of one field of a table, made of this field's leaves alone unless the table is there already."""
         if self.stored or name in self.__dict__:
             return getattr(self, name).where(F.col("path") == path)
-        return getattr(Index(self.spark, self.leafs.where(F.col("path") == path), None, self.config, self._paths), name)
+        return getattr(Index(self.spark, self.leafs_of(path), None, self.config, self._paths), name)
 
     @cached_property
     def terms(self) -> DataFrame:

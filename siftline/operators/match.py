@@ -2,11 +2,13 @@
 
 A saved index answers from its dictionary: equality and prefixes are pushed to its sorted lower-case column, the few
 terms that fit are fetched first, and the postings scan gets them as a pushed list. Without a saved index the condition
-is applied to the tokens inside each row, before anything is exploded.
+is applied to the tokens inside each row, before anything is exploded. Few terms are always fetched first, so that rows
+are joined with them where they are: by a shuffle all rows of a frequent term would go to one task.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from . import tables
 from .index import Index
 
 MAX_DISTANCE = 4
-#: Up to this many fitting terms of a saved index are listed in the filter of the postings; more are joined.
+#: Up to this many fitting terms are fetched, and listed in the filter of a saved index's postings; more are joined.
 MAX_LISTED_TERMS = 1000
 
 
@@ -59,14 +61,14 @@ def _holds(part: Part) -> Column | None:
     return F.contains(F.lower("value"), F.lit(part.term.lower()))
 
 
-def fitting_entries(index: Index, part: Part, leafs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return tables.fitting_entries(leafs.where(F.col("path") == part.path), index.config, lambda c: fits(part, c), _holds(part), keep)
+def fitting_entries(index: Index, part: Part, feature: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    return tables.fitting_entries(index.leafs_of(part.path, feature), index.config, lambda c: fits(part, c), _holds(part), keep)
 
 
 def _dictionary(index: Index, part: Part) -> DataFrame:
     """(term, term_lc, num_occ) of the terms that fit."""
     if not index.stored:
-        return tables.occurrences(fitting_entries(index, part, index.leafs)).drop("path")
+        return tables.occurrences(fitting_entries(index, part)).drop("path")
     rows = index.terms.where(F.col("path") == part.path)
     if not _folds(part) and not part.is_regex and not allowed_distance(part):
         low = part.term.lower()  # the table is sorted by lower case, so this is what skips its pages
@@ -95,26 +97,41 @@ def matched_terms(index: Index, part: Part, limit: bool = True) -> DataFrame:
     return rows
 
 
+def few_terms(index: Index, part: Part, limit: bool = True) -> tuple[DataFrame, list[str] | None]:
+    """:func:`matched_terms` to join with, and their texts if they are few. They are looked up once for an index."""
+    key = (part, limit, MAX_LISTED_TERMS)
+    if key not in index.few:
+        found = matched_terms(index, part, limit)
+        rows = found.limit(MAX_LISTED_TERMS + 1).collect()
+        if len(rows) <= MAX_LISTED_TERMS:
+            shape = pa.schema([("term", pa.string()), ("score", pa.float64()), ("num_occ", pa.int64())])
+            local = index.spark.createDataFrame(pa.Table.from_pylist([r.asDict() for r in rows], shape))
+            index.few[key] = F.broadcast(local), [r["term"] for r in rows]
+        else:
+            index.few[key] = found, None
+    return index.few[key]
+
+
 def posted(index: Index, part: Part, only: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, score, anchor): fitting terms of each document, with their fit and their score in the document.
 
     ``only`` (doc_id) is applied below the aggregate, so documents that the filter excludes are never grouped.
     """
-    found = matched_terms(index, part)
+    found, few = few_terms(index, part)
     if index.stored:
         postings = index.postings.where(F.col("path") == part.path)
-        few = found.limit(MAX_LISTED_TERMS + 1).collect()
-        if len(few) <= MAX_LISTED_TERMS:
-            postings = postings.where(F.col("term").isin([r["term"] for r in few]))
-            found = index.spark.createDataFrame(few, found.schema)
+        if few is not None:
+            postings = postings.where(F.col("term").isin(few))
         postings = postings.select("term", "doc_id", F.col("score").alias("anchor"))
         if only is not None:
             postings = postings.join(only, "doc_id", "left_semi")
         return postings.join(found, "term").select("doc_id", "term", "score", "anchor")
-    rows = fitting_entries(index, part, index.search_leafs).select("term", "doc_id", "at", "n_tokens", "exact")
+    rows = fitting_entries(index, part, "Search").select("term", "doc_id", "at", "n_tokens", "exact")
     if only is not None:
         rows = rows.join(only, "doc_id", "left_semi")
     scored = rows.join(found, "term").withColumn("s", scoring.anchor_score(F.col("at"), F.col("num_occ"), F.col("n_tokens"), F.col("exact")))
+    if few is None:
+        scored = scored.repartition("doc_id")  # else groups rest on the join's partitions, and those of frequent terms can't be split
     best = scored.groupBy("doc_id", "term").agg(F.max("s").alias("best"), F.count("*").alias("n"), F.first("score").alias("score"))
     return best.select("doc_id", "term", "score", scoring.merged_score(F.col("best"), F.col("n")).alias("anchor"))
 
@@ -128,6 +145,6 @@ def leaf_hits(index: Index, part: Part, only: DataFrame | None = None) -> DataFr
 def whole_value_docs(index: Index, part: Part) -> DataFrame:
     """(doc_id): documents with a whole value that fits; filters and boosts by term work on whole values."""
     index.check(part.path)
-    values = index.leafs.where(F.col("path") == part.path).select(F.col("value").alias("term"), "doc_id").where(fits(part, F.col("term")))
+    values = index.leafs_of(part.path).select(F.col("value").alias("term"), "doc_id").where(fits(part, F.col("term")))
     # a value is in the dictionary if it isn't too long for it, or as a token of its own
-    return values.join(matched_terms(index, part, limit=False).select("term"), "term", "left_semi").select("doc_id").distinct()
+    return values.join(few_terms(index, part, limit=False)[0].select("term"), "term", "left_semi").select("doc_id").distinct()
