@@ -21,13 +21,18 @@ LOCALITY_PICKS_LEAST = True
 
 
 def union_scored(inputs: list[tuple[str, DataFrame]]) -> DataFrame:
-    """OR: best score per distinct term, summed, times the square of the number of terms that score."""
+    """OR: best score per distinct term, summed, times the square of the number of terms that score.
+
+    Sums run in the order of terms: in the order of arrival, equal scores would differ in their last bit from document to
+    document and from run to run, and pages with them.
+    """
     if len(inputs) == 1:
         return inputs[0][1]
     rows = reduce(DataFrame.unionByName, [df.select("doc_id", F.lit(key).alias("key"), "score") for key, df in inputs])
-    best = rows.groupBy("doc_id", "key").agg(F.max("score").alias("m"))
-    n = F.count_if(F.col("m") >= 1e-5).cast("double")
-    return best.groupBy("doc_id").agg((F.sum("m") * n * n).alias("score"))
+    each = F.array(*[F.max(F.when(F.col("key") == key, F.col("score"))) for key in sorted({key for key, _ in inputs})])
+    best = rows.groupBy("doc_id").agg(each.alias("best"))
+    n = F.size(F.filter("best", lambda m: m >= 1e-5)).cast("double")
+    return best.select("doc_id", (F.aggregate("best", F.lit(0.0), lambda total, m: total + F.coalesce(m, F.lit(0.0))) * n * n).alias("score"))
 
 
 def intersect_scored(inputs: list[DataFrame]) -> DataFrame:
