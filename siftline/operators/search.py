@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,11 +89,14 @@ def highlight(index: Index, part: Part) -> DataFrame:
     cut = found.orderBy(F.desc("score"), "value")
     cut = (cut.offset(part.skip) if part.skip else cut).limit(DEFAULT_TOP if part.top is None else part.top)
 
-    @F.pandas_udf("string")
-    def make(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([highlight_text(t, set(f), info, settings.tokenize_on_chars, settings.tokenize) for t, f in zip(texts, found, strict=True)], dtype=object)
+    # not a column: Spark would move it below the limit, and then sort all texts by ranges, whose samples go to the driver
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, terms = b.column("value"), b.column("found").to_pylist()
+            snippets = [highlight_text(t, set(f), info, settings.tokenize_on_chars, settings.tokenize) for t, f in zip(texts.to_pylist(), terms, strict=True)]
+            yield pa.RecordBatch.from_arrays([texts, pa.array(snippets, pa.string()), b.column("score")], ["text", "snippet", "score"])
 
-    out = cut.select(F.col("value").alias("text"), make("value", "found").alias("snippet"), "score").where("snippet is not null")
+    out = cut.mapInArrow(make, "text string, snippet string, score double").where("snippet is not null")
     if part.options is not None and part.options.explain:
         out = out.withColumn("explain", F.array(F.struct(F.lit("MaxTokenToTextId").alias("kind"), F.col("score").alias("value"))))
     return out
