@@ -31,6 +31,7 @@ class Index:
         self.token_values = spark.range(0).selectExpr("'' AS path", "'' AS term", "CAST(0 AS double) AS value")
         self.few: dict[Any, Any] = {}
         self._made: Callable[[str], DataFrame] | None = None
+        self._ids: DataFrame | None = None  # of a table's rows, if a row has one value of a path at most
         self._boost_terms: dict[Any, tuple[float, DataFrame]] = {}
         self.raw_config: str | None = None
         self.stored = False
@@ -56,10 +57,11 @@ class Index:
     def from_table(spark: SparkSession, df: DataFrame, id_col: str, columns: list[str] | None = None, config: str | None = None) -> Index:
         """From a typed table: no JSON on the way, only the named columns are read."""
         names = [c for c in df.columns if c != id_col and (columns is None or c in columns)]
-        docs = readers.from_dataframe(df, id_col)
+        docs, ids = readers.from_dataframe(df, id_col), df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
         df = readers.spread(df, [id_col, *names])
         paths = sorted({p for c in names for p in flatten.schema_paths(df.schema[c].dataType, c)})
         index = Index(spark, flatten.flatten_columns(df, id_col, columns), docs, Config.parse(config), paths)
+        index._ids = None if any("[]" in p for p in paths) else ids
         index._made = lambda path: flatten.flatten_columns(df, id_col, columns, path)
         return index
 
@@ -101,7 +103,9 @@ class Index:
         """Rows of one field of a table, made of this field's leaves alone unless the table is there already."""
         if self.stored or name in self.__dict__:
             return getattr(self, name).where(F.col("path") == path)
-        return getattr(Index(self.spark, self.leafs_of(path), None, self.config, self._paths), name)
+        own = Index(self.spark, self.leafs_of(path), None, self.config, self._paths)
+        own._ids = self._ids
+        return getattr(own, name)
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -109,7 +113,7 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return tables.postings(self.search_leafs, self.config, self.terms)
+        return tables.postings(self.search_leafs, self.config, self.terms, self._ids)
 
     @cached_property
     def phrase_pairs(self) -> DataFrame:

@@ -101,6 +101,29 @@ def entries(leafs: DataFrame, config: Config) -> DataFrame:
     return _from_values(leafs.select("path", "doc_id", "pos", "value"), config, "doc_id long, pos array<int>, term string, at int, n_tokens int, times long, exact boolean", make)
 
 
+def packed_entries(leafs: DataFrame, config: Config) -> DataFrame:
+    """(path, term, exact, docs, at, n_tokens): the same by term, with a place in the three lists for each value that has
+    it. A row leaves Python for each term of some MB of text, not for each term of each value."""
+
+    def make(cut: _Cut, b: pa.RecordBatch) -> list:
+        values = cut.values.take(pa.array(cut.whole)).dictionary_encode()
+        by = np.argsort(values.indices.to_numpy(), kind="stable")
+        n, size = len(by), max(1, len(cut.size))
+        key, first = np.unique(cut.code * size + cut.row, return_index=True)
+        row, code = key % size, key // size
+        starts = lambda x: np.flatnonzero(np.diff(x, prepend=-1))
+        wholes, tokens = starts(values.indices.to_numpy()[by]), starts(code)
+        off = pa.array(np.concatenate([wholes, n + tokens, [n + len(row)]]), pa.int32())
+        lists = lambda x: pa.ListArray.from_arrays(off, x)
+        with_first = lambda x, one: pa.array(np.concatenate([np.full(n, one), x]), pa.int32())
+        return [
+            pa.concat_arrays([values.dictionary, cut.known.take(pa.array(code[tokens]))]), pa.array(np.arange(len(off) - 1) < len(wholes)),
+            lists(b.column("doc_id").take(pa.array(np.concatenate([cut.whole[by], row])))), lists(with_first(cut.at[first], 0)), lists(with_first(cut.size[row], 1)),
+        ]
+
+    return _from_values(leafs.select("path", "doc_id", "value"), config, "term string, exact boolean, docs array<long>, at array<int>, n_tokens array<int>", make)
+
+
 Fits = Callable[[Column], Column]
 
 
@@ -140,14 +163,27 @@ def terms(leafs: DataFrame, config: Config) -> DataFrame:
     return counted.select("path", "term", F.lower("term").alias("term_lc"), "num_occ")
 
 
-def postings(leafs: DataFrame, config: Config, known: DataFrame | None = None) -> DataFrame:
+def one_value_each(leafs: DataFrame, ids: DataFrame | None = None) -> bool:
+    """Does no document have two values of one path? ``ids`` tells without the values, if rows with them have one each."""
+    rows = leafs.groupBy("path", "doc_id") if ids is None else ids.groupBy("doc_id")
+    return rows.count().where("count > 1").isEmpty()
+
+
+def postings(leafs: DataFrame, config: Config, known: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(path, term, doc_id, score): one scored entry for each term of a document's field.
 
     Occurrences (``known``, or counted here) are joined back by (path, term), so both sides share one partitioning; no
     side is sorted, a partition's terms are looked up in a table. Tokens at one place of a document are one entry, if
     rows repeat the place: the first token counts, and the longer value.
+
+    Where a document has one value of a path at most, no term has two entries: a whole value is none of its tokens. One
+    job tells, and entries are then sent by term in lists and need no grouping by document.
     """
     known = terms(leafs, config) if known is None else known
+    if one_value_each(leafs, ids):
+        packed = packed_entries(leafs, config).join(known.select("path", "term", "num_occ").hint("shuffle_hash"), ["path", "term"])
+        each = packed.select("path", "term", "num_occ", "exact", "at", "n_tokens", F.posexplode("docs").alias("i", "doc_id"))
+        return each.select("path", "term", "doc_id", scoring.anchor_score(F.get("at", "i"), F.col("num_occ"), F.get("n_tokens", "i"), F.col("exact")).alias("score"))
     place = F.when(~F.col("exact"), F.xxhash64("pos"))
     rows = entries(leafs, config).select("path", "term", "doc_id", place.alias("place"), "at", "n_tokens", "exact")
     found = rows.join(known.select("path", "term", "num_occ").hint("shuffle_hash"), ["path", "term"])
